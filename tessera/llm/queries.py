@@ -18,6 +18,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 #: Host, path and verdict of each rule.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -44,5 +56,5 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit ON u.r = fit.r AND n = 1
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op7_url_filter": op7_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter}
 ORACLE = {"op7_url_filter": OP7_SQL}
