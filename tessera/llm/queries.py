@@ -18,6 +18,33 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: A-Z lower-cased, then runs of letters, digits and all that isn't ASCII.
+_DUCK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_DUCK_WORDS} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_DUCK_WORDS} AS ws FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, n, array_to_string(ws[s : s + n - 1], ' ') AS w
+  FROM (SELECT item, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0)
+), dw AS (
+  SELECT r, n, s, array_to_string(ws[s : s + n - 1], ' ') AS w
+  FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw))
+), hit AS (SELECT dw.r, dw.s, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.w = iw.w),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -56,5 +83,5 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit ON u.r = fit.r AND n = 1
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter}
-ORACLE = {"op7_url_filter": OP7_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op3_decontamination": op3_decontamination, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter}
+ORACLE = {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
