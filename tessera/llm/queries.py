@@ -45,6 +45,12 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .density import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -57,6 +63,15 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxic import held_out, learn, score_texts
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = learn(docs, labels.where(~held_out(F.col("doc_id"))))
+    out = score_texts(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: Host, path and verdict of each rule.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -83,5 +98,5 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit ON u.r = fit.r AND n = 1
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_decontamination": op3_decontamination, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity}
 ORACLE = {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
