@@ -51,6 +51,13 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -98,5 +105,5 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit ON u.r = fit.r AND n = 1
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity}
+QUERIES = {"op1_mixing": op1_mixing, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op5_simhash": op5_simhash, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity}
 ORACLE = {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
