@@ -18,6 +18,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+OP2_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnow import decontaminate
 
@@ -105,5 +125,5 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit ON u.r = fit.r AND n = 1
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op5_simhash": op5_simhash, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity}
-ORACLE = {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op5_simhash": op5_simhash, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity}
+ORACLE = {"op2_topk": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
