@@ -125,5 +125,11 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit ON u.r = fit.r AND n = 1
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op5_simhash": op5_simhash, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op5_simhash": op5_simhash, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE = {"op2_topk": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
