@@ -125,11 +125,20 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit ON u.r = fit.r AND n = 1
 """
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .logbilinear import score_corpus
+    from .toxic import held_out
+
+    aside = F.coalesce(held_out(F.col("doc_id"), rest=1), F.lit(False)).alias("held_out")
+    scores, classes = score_corpus(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), rest=1))
+    return scores.select("doc_id", aside, "n_tokens", "n_known", F.lit(classes.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op5_simhash": op5_simhash, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_decontamination": op3_decontamination, "op4_main_text": op4_main_text, "op5_simhash": op5_simhash, "op6_token_binary": op6_token_binary, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE = {"op2_topk": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
