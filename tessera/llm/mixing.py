@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, stage
+from .shared import WORD, fresh, stage
 
 #: The weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -128,17 +128,14 @@ def mix(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), source: str = "sour
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix themselves, each as often as it is taken, with the columns of docs."""
-    names = {c.lower() for c in docs.columns}
-    k = [next(x for x in (f"{p}{'_' * n}" for n in range(9)) if x not in names) for p in ("mix_id", "mix_hash")]
-    spare = dict(zip(k, (F.col("doc_id"), F.xxhash64("text", "lang")), strict=True)) if {"doc_id", "text", "lang"} <= names else dict(zip(k, (F.col("doc_id"), F.xxhash64("text")), strict=True))
-    keyed = docs.withColumns(spare).withColumn("mix_source", F.xxhash64("source"))
-    taken = mix(keyed.withColumn("mix_size", word_count(F.col("text"))), key=(*k, "mix_source"), size=F.col("mix_size"), **options)
-    copies = stage(taken.groupBy(*k, "mix_source").agg(F.sort_array(F.collect_list(F.struct("nth", "copies"))).alias("each")), "mix-copies")
-    on = [keyed[c].eqNullSafe(copies[c]) for c in (*k, "mix_source")]
-    joined = keyed.join(copies.where(F.exists("each", lambda x: x["copies"] > 0)), on)
-    one = joined.where(F.size("each") == 1).withColumn("copies", F.col("each")[0]["copies"])
-    w = Window.partitionBy(*[copies[c] for c in (*k, "mix_source")]).orderBy(F.lit(1))
-    many = joined.where(F.size("each") > 1).withColumn("copies", F.row_number().over(w)).withColumn("copies", F.get("each", F.col("copies") - 1)["copies"])
-    back = one.unionByName(many) if False else one.select(*[keyed[c] for c in docs.columns], "copies").unionAll(many.select(*[keyed[c] for c in docs.columns], "copies"))
-    return back.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The rows of the mix themselves, each as often as it is taken, with the columns of docs (doc_id, text and source among them)."""
+    key, nth = fresh(docs, "mix_key"), fresh(docs, "mix_nth")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "source"))
+    taken = mix(keyed, key=(key,), **options)
+    other, each = fresh(keyed, "mix_other"), fresh(keyed, "mix_each")
+    copies = stage(taken.groupBy(F.col(key).alias(other)).agg(F.sort_array(F.collect_list(F.struct("nth", "copies"))).alias(each)), "mix-copies")
+    # Rows of one key are counted off; that needs no shuffle beyond the join's.
+    joined = keyed.join(copies.where(F.exists(each, lambda x: x["copies"] > 0)), F.col(key) == F.col(other))
+    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(other).orderBy(other)))
+    times = F.coalesce(F.get(each, F.col(nth) - 1)["copies"], F.lit(0))
+    return joined.where(times > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

@@ -130,6 +130,13 @@ class WordTokenizer:
             begin = at
 
 
+def vocabulary(name: str) -> str:
+    """Where a file of the public tokenizers is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import as_bytes
-from .shared import components, stage
+from .shared import components, fresh, stage
 
 SEED, DISTANCE = 42, 3
 #: Pairs of one key that are formed one by one; a key with more goes the other way.
@@ -109,11 +109,24 @@ def link_fingerprints(nodes: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_each: int = 3) -> DataFrame:
-    """doc_id, print and component_id (the smallest doc_id reachable) of each row."""
+    """doc_id, print, component_id (the smallest doc_id reachable) and root (the component's inner name) of each row."""
     prints = stage(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), words_each=words_each), "simhash")
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
     groups = components(link_fingerprints(nodes.select("print"))).withColumnRenamed("node", "print")
     named = nodes.join(groups, "print", "left").withColumn("root", F.coalesce("component", "print"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stage(named.join(least, "root").select("print", "component_id"), "simhash-groups")
-    return prints.join(labels, "print").select("doc_id", "print", "component_id")
+    labels = stage(named.join(least, "root").select("print", "component_id", "root"), "simhash-groups")
+    return prints.join(labels, "print").select("doc_id", "print", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, words_each: int = 5) -> DataFrame:
+    """The rows of docs (doc_id and text among the columns) without near-duplicates: of each component the row with the smallest doc_id, nulls last."""
+    key, other, nth = fresh(docs, "simhash_key"), fresh(docs, "simhash_other"), fresh(docs, "simhash_nth")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed, doc_id=key, words_each=words_each).select(F.col("doc_id").alias("k"), "root").distinct()
+    ids = keyed.select(F.col(key).alias("k"), "doc_id").distinct()
+    first = found.join(ids, "k").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("kept"))
+    kept = stage(first.select(F.col("kept.k").alias(other)), "simhash-kept")
+    joined = keyed.join(kept, F.col(key) == F.col(other))
+    # Rows that are the same: one of them.
+    return joined.withColumn(nth, F.row_number().over(Window.partitionBy(other).orderBy(other))).where(F.col(nth) == 1).select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import fresh, stage
 
 MOST_LABELLED = 20_000
 #: A word or stem needs so many different neighbours in toxic texts, and at most this share of the texts that use it untoxic.
@@ -296,14 +296,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     return model
 
 
-def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", score_name: str = "score") -> DataFrame:
     """The kept columns and the score of each row."""
-    ddl = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "score double"
+    ddl = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"`{score_name}` double"
 
     def work(batches):
         matcher = model.matcher()
         for batch in batches:
             x = np.array([matcher.features(t) for t in batch.column(len(keep)).to_pylist()], np.float64).reshape(-1, len(PRIOR))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(score(x, model.weights))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(score(x, model.weights))], names=[*keep, score_name])
 
-    return docs.select(*keep, text).mapInArrow(work, ddl)
+    return docs.select(*keep, F.col(text).alias(fresh(docs, "toxic_text"))).mapInArrow(work, ddl)
+
+
+def untoxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id and text among the columns) that score below 0.5."""
+    name = fresh(docs, "toxic_score")
+    scored = score_texts(docs, learn(docs, labels), tuple(docs.columns), score_name=name)
+    return scored.where(F.col(name) < 0.5).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, as_bytes, chunks, grams
-from .shared import stage
+from .shared import fresh, stage
 
 WINDOW, GRAM = 13, 5
 #: Bits of the bitmap of the items' fingerprints: 4 MB, whatever the number of items.
@@ -167,3 +167,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     none = F.expr("cast(array() as array<string>)")
     return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items").cast("long"), F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", none).alias("items"), ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id and text among the columns) that aren't contaminated."""
+    key, other = fresh(docs, "winnow_key"), fresh(docs, "winnow_other")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = decontaminate(keyed, items, doc_id=key).where("contaminated").select(F.col("doc_id").alias(other)).distinct()
+    return keyed.join(stage(found, "contaminated"), F.col(key) == F.col(other), "left_anti").select(*docs.columns)
