@@ -1,7 +1,7 @@
 """From raw documents to token blocks: five stages, each on all that the one before kept.
 
 1. toxicity: documents that score 0.5 or more by a model of the labels (those not held out) go.
-2. near-dedup: of each group of documents whose 5-word SimHash fingerprints link at 3 or fewer bits, one stays.
+2. near-dedup: of each group of documents whose SimHash fingerprints (three words, as in op5) link at 3 or fewer bits, one stays.
 3. decontamination: documents with 5 % or more of their words in 13-word spans of benchmark items go.
 4. mixing: sources are taken near their target shares; a document comes as often as the mix takes it.
 5. token blocks: what is left is encoded, written and read back; a row for each document with its place, length and checksum.

@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(labels, "print").select("doc_id", "print", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, words_each: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, words_each: int = 3) -> DataFrame:
     """The rows of docs (doc_id and text among the columns) without near-duplicates: of each component the row with the smallest doc_id, nulls last."""
     key, other, nth = fresh(docs, "simhash_key"), fresh(docs, "simhash_other"), fresh(docs, "simhash_nth")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
