@@ -27,7 +27,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template iframe object embed svg canvas math head title textarea select option button audio video map".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 BOILER = set("nav footer aside form menu dialog search fieldset".split())
-WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion breadcrumb breadcrumbs comment comments commentlist disqus discussion replies respond cookie cookies consent gdpr notice notices alert popup modal overlay paywall newsletter subscribe subscription signup login nav navbar navigation menu menubar sidebar rail aside complementary contentinfo footer foot masthead topbar toolbar pager pagination share sharing social related recommended recommendations outbrain taboola widget widgets form search skip".split())
+WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion breadcrumb breadcrumbs comment comments commentlist disqus discussion replies respond cookie cookies consent gdpr notice notices alert popup modal overlay paywall newsletter subscribe subscription signup login nav navbar navigation menu menubar sidebar aside complementary contentinfo footer masthead topbar toolbar pager pagination share sharing social related recommended recommendations outbrain taboola widget widgets".split())
 ENDS_P = BLOCK - set("body html caption tbody td tfoot th thead tr li dd dt legend summary".split())
 #: An element of these ends an open one of the same list, up to the element named.
 SIBLINGS = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -36,8 +36,9 @@ SIBLINGS = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}),
 class _Tree(HTMLParser):
     """Parallel lists of the elements: parent, tag, whether left out; and the text pieces with their elements."""
 
-    def __init__(self):
+    def __init__(self, hints: bool):
         super().__init__(convert_charrefs=True)
+        self.hints = hints
         self.parent, self.tag, self.out = [-1], ["#root"], [False]
         self.pieces: list[tuple[int, str]] = []
         self.stack = [0]
@@ -76,7 +77,7 @@ class _Tree(HTMLParser):
         out = self.out[up] or tag in RAW or tag in BOILER
         if not out and tag == "header":
             out = not (self.open.get("article") or self.open.get("main"))
-        if not out and attrs and tag not in ("html", "body", "article", "main", "h1"):
+        if self.hints and not out and attrs and tag not in ("html", "body", "article", "main", "h1"):
             for name, value in attrs:
                 if value and name in ("class", "id", "role") and not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
                     out = True
@@ -102,11 +103,11 @@ class _Tree(HTMLParser):
             self.pieces.append((self.stack[-1], data))
 
 
-def extract(html: str | None) -> str:
-    """The main text of a page: blocks joined by newlines."""
+def extract(html: str | None, hints: bool = True) -> str:
+    """The main text of a page: blocks joined by newlines. If what classes say would leave no text, they aren't heeded."""
     if not html:
         return ""
-    tree = _Tree()
+    tree = _Tree(hints)
     tree.feed(html)
     tree.close()
     parent, tag, out = tree.parent, tree.tag, tree.out
@@ -128,7 +129,7 @@ def extract(html: str | None) -> str:
         tags[p] += tags[i] + 1
         link_tags[p] += link_tags[i] + linked[i]
     if not chars[0]:
-        return ""
+        return extract(html, False) if hints else ""
     body = next((i for i in range(n) if tag[i] == "body"), 0)
     if not chars[body]:
         body = 0
