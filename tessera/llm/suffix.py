@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import INVERSE, MULTIPLIER, as_bytes, chunks, mix64, powers
-from .shared import stage
+from .shared import partitions, stage
 
 LEAST, ANCHOR = 400, 32
 CHUNK = 1 << 20
-#: Bytes of regions that a task sorts at once; regions of one anchor beyond which strings are hashed instead.
-BUCKET_BYTES, MOST_REGIONS = 3 << 19, 1000
+#: Bytes of regions in a task's group, and that are sorted at once; regions of one anchor beyond which strings are hashed instead.
+BUCKET_BYTES, SORT_BYTES, MOST_REGIONS = 3 << 19, 1 << 20, 1000
 SCANNED = "doc_id long, n_bytes long, sha string, k1 long, k2 long, anchor long, lo int, hi int"
 
 
@@ -94,22 +94,36 @@ def _scan(batches, least: int):
 
 
 def rotations(text: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the rotations of text (small integers) by their first ``depth`` symbols or more, by doubling."""
+    """The order of the rotations of text (small integers) by their first ``depth`` symbols or more, by doubling.
+
+    Keys are sorted as plain 64-bit numbers with the place in the low bits, which is several times as fast as argsort.
+    """
     n = len(text)
+    place = np.arange(n, dtype=np.int64)
+    low = max(1, (n - 1).bit_length())
+    if low > 21:
+        raise ValueError("too many symbols to sort at once")
+    used = np.zeros(int(text.max()) + 1, bool)
+    used[text] = True
+    bits = max(1, int(used.sum() - 1).bit_length())
+    dense = (np.cumsum(used) - 1)[text]
+    have = (63 - low) // bits
     first = np.zeros(n, np.int64)
-    for k in range(6):  # six symbols of 9 bits at once
-        first = first << 9 | np.roll(text, -k)
-    order = np.argsort(first, kind="stable")
-    key, have = first[order], 6
-    rank = np.empty(n, np.int64)
+    for k in range(have):
+        first = first << bits | np.roll(dense, -(k % n))
+    key, rank = first, np.empty(n, np.int64)
+    mask = (1 << low) - 1
     while True:
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank[order] = new
+        packed = np.sort(key << low | place)
+        order = packed & mask
+        packed >>= low
+        new = np.empty(n, np.int64)
+        new[0] = 0
+        np.cumsum(packed[1:] != packed[:-1], out=new[1:])
         if have >= depth or new[-1] == n - 1:
             return order
-        pair = rank << 32 | np.roll(rank, -(have % n))
-        order = np.argsort(pair, kind="stable")
-        key = pair[order]
+        rank[order] = new
+        key = rank << 21 | np.roll(rank, -(have % n))
         have *= 2
 
 
@@ -120,21 +134,21 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     them; an interval that ends where no common prefix is known sets it to the length so far and goes on.
     """
     n = len(text)
-    last = text[order - 1]  # the transform
+    last = text[order - 1].astype(np.uint16)  # the transform
     by = np.argsort(last, kind="stable")
-    to = np.empty(n, np.int64)
-    to[by] = np.arange(n)  # where the rotation one symbol longer stands
-    bucket = last[by]
+    to = np.empty(n, np.int32)
+    to[by] = np.arange(n, dtype=np.int32)  # where the rotation one symbol longer stands
+    bucket = last[by].astype(np.int32)
     unset = np.ones(n + 1, bool)
     unset[0] = unset[n] = False
-    lb, size = np.array([0]), np.array([n])
-    parent_at = np.full(n, -1, np.int64)
+    lb, size = np.array([0], np.int32), np.array([n], np.int32)
+    parent_at = np.full(n, -1, np.int32)
     for length in range(least):
         total = int(size.sum())
         if not total:
             break
-        owner = np.repeat(np.arange(len(lb)), size)
-        rows = np.arange(total) + np.repeat(lb - (np.cumsum(size) - size), size)
+        owner = np.repeat(np.arange(len(lb), dtype=np.int32), size)
+        rows = np.arange(total, dtype=np.int32) + np.repeat(lb - (np.cumsum(size, dtype=np.int32) - size), size)
         at = to[rows]
         if total * 8 > n:  # many: by place
             parent_at[at] = owner
@@ -142,14 +156,17 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
             owner = parent_at[at]
             parent_at[at] = -1
         else:
-            sort = np.argsort(at, kind="stable")
-            at, owner = at[sort], owner[sort]
-        new = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0) | (np.diff(bucket[at], prepend=-1) != 0))
-        ends = np.concatenate([new[1:], [len(at)]])
+            packed = np.sort(at.astype(np.int64) << 32 | owner)
+            at, owner = (packed >> 32).astype(np.int32), packed.astype(np.int32)
+        symbol = bucket[at]
+        turn = np.ones(len(at), bool)
+        turn[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
+        new = np.flatnonzero(turn)
+        ends = np.append(new[1:], len(at))
         over = at[ends - 1] + 1
         fresh = unset[over]
         unset[over[fresh]] = False
-        lb, size = at[new[fresh]], (ends - new)[fresh]
+        lb, size = at[new[fresh]], (ends - new)[fresh].astype(np.int32)
     return unset[:n]
 
 
@@ -184,15 +201,23 @@ _SPANS = pa.schema([("rid", pa.binary()), ("lo", pa.list_(pa.int32())), ("hi", p
 
 
 def _sort_bucket(key, table: pa.Table, least: int) -> pa.Table:
-    """Of the regions of a bucket: which bytes lie in repeated strings."""
-    regions, copies = table.column("region").to_pylist(), table.column("copies").to_numpy()
-    flags = repeated_starts(regions, copies, least)
-    rids, los, his, at = table.column("rid").to_pylist(), [], [], 0
-    for r in regions:
-        a, b = _runs(flags[at : at + len(r)])
-        los.append(a.astype(np.int32))
-        his.append((b + least - 1).astype(np.int32))
-        at += len(r) + 1
+    """Of the regions of a bucket: which bytes lie in repeated strings. Anchors are taken together while they fit SORT_BYTES."""
+    table = table.sort_by("anchor")
+    regions, copies, rids = table.column("region").to_pylist(), table.column("copies").to_numpy(), table.column("rid").to_pylist()
+    anchor = table.column("anchor").to_numpy()
+    turns = np.append(np.flatnonzero(np.diff(anchor)) + 1, len(anchor)).tolist()
+    size = np.concatenate([[0], np.cumsum([len(r) + 1 for r in regions])])
+    los, his, begin = [], [], 0
+    for k, end in enumerate(turns):
+        if k + 1 < len(turns) and size[turns[k + 1]] - size[begin] <= SORT_BYTES:
+            continue
+        flags, at = repeated_starts(regions[begin:end], copies[begin:end], least), 0
+        for r in regions[begin:end]:
+            a, b = _runs(flags[at : at + len(r)])
+            los.append(a.astype(np.int32))
+            his.append((b + least - 1).astype(np.int32))
+            at += len(r) + 1
+        begin = end
     return pa.table([pa.array(rids, pa.binary()), pa.array(los, _SPANS.field(1).type), pa.array(his, _SPANS.field(2).type)], schema=_SPANS)
 
 
@@ -252,7 +277,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST, doc_
     """(rows, spans): a row for each document (doc_id, n_bytes, sha, k1, k2), and the repeated spans of each distinct text (k1, k2, lo, hi; they may overlap)."""
     scanned = stage(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(lambda it: _scan(it, least), SCANNED), "suffix-scan")
     marks = scanned.where("anchor is not null")
-    twice = marks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # A table of its own: then both sides of the join are shuffled for it, and Spark can split an anchor with many rows.
+    twice = stage(marks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-twice")
     marked = marks.join(twice, "anchor").select("k1", "k2", "anchor", "lo", "hi").distinct()
     per_text = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("marks"))
     texts = docs.select(*_text_key(F.col(text)), F.col(text).alias("text"))
@@ -263,9 +289,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST, doc_
     size = regions.agg(F.sum(F.length("region"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     few = regions.join(many, "anchor", "left_anti")
-    found = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("bucket", "rid", "copies", "region").groupBy("bucket").applyInArrow(lambda key, t: _sort_bucket(key, t, least), SPANS)
+    found = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("bucket", "anchor", "rid", "copies", "region").groupBy("bucket").applyInArrow(lambda key, t: _sort_bucket(key, t, least), SPANS)
     found = found.select("rid", F.explode(F.arrays_zip("lo", "hi")).alias("s")).select("rid", "s.lo", "s.hi")
-    strings = regions.join(many, "anchor", "left_semi").select("rid", "region", "copies").mapInArrow(lambda it: _strings(it, least), "rid binary, copies long, at int, s1 long, s2 long")
+    # Dealt by region, not by anchor: these are the anchors that would make large tasks.
+    strings = regions.join(many, "anchor", "left_semi").select("rid", "region", "copies").repartition(partitions(docs.sparkSession), "rid").mapInArrow(lambda it: _strings(it, least), "rid binary, copies long, at int, s1 long, s2 long")
     again = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("n")).where("n > 1").select("s1", "s2")
     found = found.unionByName(strings.join(again, ["s1", "s2"]).select("rid", F.col("at").alias("lo"), (F.col("at") + least).alias("hi")))
     found = stage(found, "suffix-spans")
