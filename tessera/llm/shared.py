@@ -56,6 +56,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     the driver. Nodes with many neighbours are no burden: each step aggregates min() before it joins.
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    # The links' number and a sum of their hashes tell whether a round changed anything.
+    signature = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = signature(edges)
     for _ in range(most_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -63,11 +66,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = stage(small, "links")
-        same = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        done = tuple(same(after)) == tuple(same(edges))
+        now = signature(after)
         edges = after
-        if done:
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not converge")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
