@@ -31,7 +31,7 @@ from .shared import partitions, stage
 LEAST, ANCHOR = 400, 32
 CHUNK = 1 << 20
 #: Bytes of regions in a task's group, and that are sorted at once; regions of one anchor beyond which strings are hashed instead.
-BUCKET_BYTES, SORT_BYTES, MOST_REGIONS = 3 << 19, 1 << 20, 1000
+BUCKET_BYTES, SORT_BYTES, MOST_REGIONS = 3 << 19, 1 << 19, 1000
 SCANNED = "doc_id long, n_bytes long, sha string, k1 long, k2 long, anchor long, lo int, hi int"
 
 
