@@ -29,7 +29,8 @@ from .shared import partitions, stage
 #: Frequent words with a class each, classes of the others by form, and the width of vectors.
 FREQUENT, FORMS, WIDTH = 1024, 512, 16
 BATCH, NOISE, RATE, WARM_SHARE = 4096, 32, 0.08, 8
-BLOCK = 4 << 20
+#: Bytes of text of a block, and those that are hashed at once.
+BLOCK, HASH_RUN = 4 << 20, (1 << 19) - (1 << 14)
 END = np.uint64(0x5E17AB1E0DD5EED5)
 BLOCKS = "kind int, block long, ids array<long>, train array<boolean>, lengths array<int>, tokens binary, hashes binary, forms binary, bucket int, slice binary, counts binary, slice_forms binary"
 _BLOCKS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("tokens", "hashes", "forms")), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("slice", "counts", "slice_forms"))])
@@ -48,6 +49,12 @@ def _tokens(texts: list[bytes]):
     return hashes, forms, lengths
 
 
+def _tokens_of_block(texts: list[bytes]):
+    """As _tokens, with the bytes hashed in smaller runs: a worker's tables of powers stay small."""
+    parts = [_tokens(texts[a:b]) for a, b in chunks(texts, HASH_RUN)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _blocks(batches, buckets: int):
     from pyspark import TaskContext
 
@@ -55,7 +62,7 @@ def _blocks(batches, buckets: int):
     for batch in batches:
         texts, ids, train = as_bytes(batch.column(2)), batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in chunks(texts, BLOCK):
-            hashes, forms, lengths = _tokens(texts[a:b])
+            hashes, forms, lengths = _tokens_of_block(texts[a:b])
             own, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
             learnt = np.repeat(np.array(train[a:b], bool), lengths)
             counts = np.bincount(tokens[learnt], minlength=len(own))
@@ -153,7 +160,7 @@ class Model:
         a, b = self.c1 @ self.r.T + self.b, self.c2 @ self.r.T
         ma, mb = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
         z = np.log(np.exp(a - ma).astype(np.float64) @ np.exp(b - mb).astype(np.float64).T) + ma + mb.T
-        return a, b, z
+        return a.astype(np.float32), b.astype(np.float32), z.astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
