@@ -99,6 +99,22 @@ def _totals(key, table):
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOTALS, strict=True)], schema=_TOTALS)
 
 
+MERGED = "form_words array<long>, form_tokens array<long>, top_hash array<long>, top_count array<long>, top_form array<int>"
+
+
+def _merge_sums(batches):
+    """A task's rows of sums as one: added up, and the most frequent words of all (the end among them)."""
+    words, tokens, top = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64), []
+    end, seen = int(END.view(np.int64)), False
+    for batch in batches:
+        for w, t, h, c, f in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            words, tokens, seen = words + np.array(w, np.int64), tokens + np.array(t, np.int64), True
+            top = sorted([*top, *zip(h, c, f, strict=True)], key=lambda x: (x[0] != end, -x[1], x[0]))[:FREQUENT]
+    if seen:
+        h, c, f = zip(*top, strict=True) if top else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int64())), pa.array([h], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64())), pa.array([f], pa.list_(pa.int32()))], names=["form_words", "form_tokens", "top_hash", "top_count", "top_form"])
+
+
 class Classes:
     """What class each word has, and the shares of words in classes of forms."""
 
@@ -257,15 +273,16 @@ def score_corpus(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: s
     totals = stage(rows.where("kind = 1").select("block", "bucket", "slice", "counts", "slice_forms").groupBy("bucket").applyInArrow(_totals, TOTALS), "lm-totals")
     sums = totals.where("kind = 0")
     n = sums.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
-    per_form = sums.select(F.posexplode(F.arrays_zip("form_words", "form_tokens"))).groupBy("pos").agg(F.sum("col.form_words").alias("w"), F.sum("col.form_tokens").alias("t")).collect()  # a row for each form
     form_words, form_tokens = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
-    for r in per_form:
-        form_words[r["pos"]], form_tokens[r["pos"]] = r["w"], r["t"]
-    end = int(END.view(np.int64))
-    candidates = sums.select(F.explode(F.arrays_zip("top_hash", "top_count", "top_form")).alias("x")).select("x.*")
-    top = candidates.where(F.col("top_hash") != end).orderBy(F.desc("top_count"), "top_hash").limit(FREQUENT - 1).collect() + candidates.where(F.col("top_hash") == end).collect()
-    if not any(r["top_hash"] == end for r in top):
-        top.append({"top_hash": end, "top_count": 0, "top_form": 0})
+    end, top = int(END.view(np.int64)), []
+    for r in sums.select("form_words", "form_tokens", "top_hash", "top_count", "top_form").repartition(8).mapInArrow(_merge_sums, MERGED).collect():  # at most 8 rows
+        form_words += np.array(r["form_words"], np.int64)
+        form_tokens += np.array(r["form_tokens"], np.int64)
+        top += [{"top_hash": h, "top_count": c, "top_form": f} for h, c, f in zip(r["top_hash"], r["top_count"], r["top_form"], strict=True)]
+    top.sort(key=lambda r: (r["top_hash"] != end, -r["top_count"], r["top_hash"]))
+    top = top[:FREQUENT]
+    if not top or top[0]["top_hash"] != end:
+        top = [{"top_hash": end, "top_count": 0, "top_form": 0}, *top[: FREQUENT - 1]]
     classes = Classes(np.array([r["top_hash"] for r in top], np.int64).view(np.uint64), np.array([r["top_count"] for r in top], np.int64), np.array([r["top_form"] for r in top], np.int64), form_words, form_tokens, n["words"] or 0, n["tokens"] or 0)
     model = Model(classes)
     if classes.tokens:
