@@ -1,7 +1,7 @@
 """From raw documents to token blocks: five stages, each on all that the one before kept.
 
 1. toxicity: documents that score 0.5 or more by a model of the labels (those not held out) go.
-2. near-dedup: of each group of documents whose SimHash fingerprints (three words, as in op5) link at 3 or fewer bits, one stays.
+2. near-dedup: of each group of documents that pairs connect whose five-word shingles are 0.8 or more alike (Jaccard), one stays.
 3. decontamination: documents with 5 % or more of their words in 13-word spans of benchmark items go.
 4. mixing: sources are taken near their target shares; a document comes as often as the mix takes it.
 5. token blocks: what is left is encoded, written and read back; a row for each document with its place, length and checksum.
@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.minhash import near_copies
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.rans import vocabulary, write_and_read
 from tessera.llm.shared import stage
-from tessera.llm.simhash import one_of_each
+from tessera.llm.simhash import first_of_each
 from tessera.llm.toxic import held_out, untoxic_documents
 from tessera.llm.winnow import clean_documents
 
@@ -28,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return first_of_each(docs, near_copies)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ shingle are one shingle; repeated rows share a node; a component's id is its sma
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -121,9 +123,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, words_each: int = 3) -> DataFrame:
     """The rows of docs (doc_id and text among the columns) without near-duplicates: of each component the row with the smallest doc_id, nulls last."""
+    return first_of_each(docs, lambda keyed: near_duplicates(keyed, doc_id="k", words_each=words_each).select(F.col("doc_id").alias("k"), "root"))
+
+
+def first_of_each(docs: DataFrame, group: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs with the smallest doc_id of each group, nulls last; ``group`` gives k and root for rows of k and text."""
     key, other, nth = fresh(docs, "simhash_key"), fresh(docs, "simhash_other"), fresh(docs, "simhash_nth")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = near_duplicates(keyed, doc_id=key, words_each=words_each).select(F.col("doc_id").alias("k"), "root").distinct()
+    found = group(keyed.select(F.col(key).alias("k"), "text")).distinct()
     ids = keyed.select(F.col(key).alias("k"), "doc_id").distinct()
     first = found.join(ids, "k").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("kept"))
     kept = stage(first.select(F.col("kept.k").alias(other)), "simhash-kept")
