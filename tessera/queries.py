@@ -731,7 +731,7 @@ def c6(t):
 
 @query("c7_schema_pairs")
 def c7(t):
-    return P.schema_pairs(_schemas(t), StubProvider, most=100)
+    return P.schema_pairs(_schemas(t), StubProvider, most=None)
 
 
 def _prompts(t: Tables) -> DataFrame:
@@ -741,7 +741,7 @@ def _prompts(t: Tables) -> DataFrame:
 
 @query("c8_rejection_sampling")
 def c8(t):
-    return P.rejection_sampled(_prompts(t), lambda: StubProvider(sections=True), most=200)
+    return P.rejection_sampled(_prompts(t), lambda: StubProvider(sections=True))
 
 
 def _gold(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -752,12 +752,12 @@ def _gold(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("c9_preference_pairs")
 def c9(t):
-    return P.preference_pairs(_prompts(t), *_gold(t), StubProvider, most=200, shards=2, index=1)[0]
+    return P.preference_pairs(_prompts(t), *_gold(t), StubProvider)[0]
 
 
 @query("c9_preference_ledger")
 def c9b(t):
-    return P.preference_pairs(_prompts(t), *_gold(t), StubProvider, most=200)[1]
+    return P.preference_pairs(_prompts(t), *_gold(t), StubProvider)[1]
 
 
 @query("c10_synthesis")
