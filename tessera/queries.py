@@ -735,7 +735,7 @@ def c7(t):
 
 
 def _prompts(t: Tables) -> DataFrame:
-    s = _schemas(t).where("unique_id % 5 <> 0")
+    s = _schemas(t)
     return s.select(F.col("unique_id").cast("string").alias("stem"), F.concat(F.lit("Take it out.\n\n=== Report ===\nr\n\n=== JSON Schema ===\n"), "json_schema").alias("user_prompt"))
 
 

@@ -28,8 +28,8 @@ def _stems(df, c="_stem"):
     return Counter(int(r[c]) for r in df.collect())
 
 
-#: Events whose prompts the queries build.
-PROMPTS = [i for i in range(N) if i % 5]
+#: Events whose prompts the queries build: all, those with bare schemas too.
+PROMPTS = range(N)
 
 
 def test_rejection_sampling_takes_all(spark, events):
@@ -51,3 +51,9 @@ def test_schema_pairs_take_all(spark, events):
     got = _stems(Q.QUERIES["c7_schema_pairs"](spark, events), "_unique_id")
     bad = {i: sum(_spoilt(i, s, "=== JSON Schema ===\n") for s in range(4)) for i in range(N) if i % 5}
     assert got == Counter(i for i, n in bad.items() if 0 < n < 4)
+
+
+def test_inference_has_all(spark, events):
+    rows = Q.QUERIES["c13_inference"](spark, events).collect()
+    parsed = {int(r["stem"]): r["pred_json"] != "" for r in rows}
+    assert len(rows) == N and parsed == {i: not _spoilt(i, 0) for i in PROMPTS}
