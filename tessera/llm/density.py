@@ -27,6 +27,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template iframe object embed svg canvas math head title textarea select option button audio video map".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 BOILER = set("nav footer aside form menu dialog search fieldset".split())
+#: Elements that may hold a page's whole body, and what is left out of them then.
+HOLDERS, LABELS = {"form", "fieldset"}, {"label", "legend"}
 WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion breadcrumb breadcrumbs comment comments commentlist disqus discussion replies respond cookie cookies consent gdpr notice notices alert popup modal overlay paywall newsletter subscribe subscription signup login nav navbar navigation menu menubar sidebar aside complementary contentinfo footer masthead topbar toolbar pager pagination share sharing social related recommended recommendations outbrain taboola widget widgets".split())
 ENDS_P = BLOCK - set("body html caption tbody td tfoot th thead tr li dd dt legend summary".split())
 #: An element of these ends an open one of the same list, up to the element named.
@@ -36,9 +38,9 @@ SIBLINGS = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}),
 class _Tree(HTMLParser):
     """Parallel lists of the elements: parent, tag, whether left out; and the text pieces with their elements."""
 
-    def __init__(self, hints: bool):
+    def __init__(self, hints: bool, boiler: set[str] = BOILER):
         super().__init__(convert_charrefs=True)
-        self.hints = hints
+        self.hints, self.boiler = hints, boiler
         self.parent, self.tag, self.out = [-1], ["#root"], [False]
         self.pieces: list[tuple[int, str]] = []
         self.stack = [0]
@@ -74,7 +76,7 @@ class _Tree(HTMLParser):
         if tag == "a":
             self._close(("a",), BLOCK)
         up = self.stack[-1]
-        out = self.out[up] or tag in RAW or tag in BOILER
+        out = self.out[up] or tag in RAW or tag in self.boiler or tag in LABELS and bool(self.open.get("form") or self.open.get("fieldset"))
         if not out and tag == "header":
             out = not (self.open.get("article") or self.open.get("main"))
         if self.hints and not out and attrs and tag not in ("html", "body", "article", "main", "h1"):
@@ -103,13 +105,29 @@ class _Tree(HTMLParser):
             self.pieces.append((self.stack[-1], data))
 
 
+def _parsed(html: str, hints: bool, boiler: set[str] = BOILER) -> _Tree:
+    tree = _Tree(hints, boiler)
+    tree.feed(html)
+    tree.close()
+    return tree
+
+
+def _letters(tree: _Tree) -> int:
+    return sum(len(text) - text.count(" ") - text.count("\n") for _, text in tree.pieces)
+
+
 def extract(html: str | None, hints: bool = True) -> str:
-    """The main text of a page: blocks joined by newlines. If what classes say would leave no text, they aren't heeded."""
+    """The main text of a page: blocks joined by newlines. If what classes say would leave no text, they aren't heeded.
+
+    A form or fieldset is left out, unless such elements hold more than half of the text; then only their controls and labels are.
+    """
     if not html:
         return ""
-    tree = _Tree(hints)
-    tree.feed(html)
-    tree.close()
+    tree = _parsed(html, hints)
+    if not HOLDERS.isdisjoint(tree.tag):
+        whole = _parsed(html, hints, BOILER - HOLDERS)
+        if _letters(whole) > 2 * _letters(tree):
+            tree = whole
     parent, tag, out = tree.parent, tree.tag, tree.out
     n = len(tag)
     chars, tags, link_chars, link_tags, linked = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
@@ -177,10 +195,13 @@ def extract(html: str | None, hints: bool = True) -> str:
     if inner and tag[around] in ("article", "main"):
         marked = [False] * n
     marked[around] = True
-    kept = [False] * n
+    # Lists of links within an article or main, such as references, stay; those marked as navigation are out already.
+    article, kept = [t in ("article", "main") for t in tag], [False] * n
+    for i in range(1, n):
+        article[i] = article[i] or article[parent[i]]
     for i in range(body, n):
         kept[i] = marked[i] or (i > 0 and kept[parent[i]] and not out[i])
-        if kept[i] and i != around and not marked[i] and tag[i] in ("ul", "ol", "div", "section", "table") and link_tags[i] >= 2 and link_chars[i] > 0.6 * chars[i]:
+        if kept[i] and i != around and not marked[i] and not article[i] and tag[i] in ("ul", "ol", "div", "section", "table") and link_tags[i] >= 2 and link_chars[i] > 0.6 * chars[i]:
             kept[i] = False
     block = [0] * n
     for i in range(1, n):
