@@ -1,16 +1,20 @@
 """Repeated byte strings, found on Burrows-Wheeler transforms and removed.
 
 Every byte covered by a string of ``least`` bytes that also starts elsewhere is removed. Each such string has an anchor: the
-32 bytes in it with the smallest hash. Strings that are equal have equal anchors at equal places, so anchors that occur once
-need no further look; around the others the bytes of all strings that share the anchor form a region. Equal
-regions are kept once, with their number. Regions of the same anchors meet in one task, which sorts their
-rotations, and finds where neighbours in that order share less than ``least`` bytes: breadth-first backward extension
-on the transform gives the common prefixes by increasing value, each interval going on only if it sets a new one, and stops
-at ``least``; what is still unset shares at least that much. An interval of strings that holds more than one occurrence, by
-number of regions times their copies, is repeated.
+32 bytes in it with the smallest hash. Strings that are equal have equal anchors at equal places. So the strings around an
+anchor are dealt by content: those that have it in their first half all hold the bytes right of it up to half a string, the
+others the bytes left of it, and a hash of these bytes is their key. Strings whose key occurs once need no further look;
+around the others the bytes of all strings of one key form a region. Equal regions are kept once, with their number. A
+key with very many different regions is dealt again, by four narrower ranges of the anchor's place, whose strings have more
+bytes in common, until its groups are small; the narrowest range is one string. So a frequent passage costs a fixed
+number of rows each time it occurs, and equal strings always meet.
 
-Anchors with very many different regions would be too much for one task: their strings are hashed (128 bits) one by one and
-counted, which is exact as well and needs no group.
+Regions of the same keys meet in one task, which sorts their rotations, and finds where neighbours in that order share
+less than ``least`` bytes: breadth-first backward extension on the transform gives the common prefixes by increasing value,
+each interval going on only if it sets a new one, and stops at ``least``; what is still unset shares at least that much. An
+interval of strings that holds more than one occurrence, by number of regions times their copies, is repeated.
+
+Equal texts are looked at once, with their number.
 
 Cases: null texts are empty; strings overlap freely and count within a document too; equal documents lose all their bytes
 if they are long enough; rows with equal or null ids each get their row; texts of any length are read whole; no rows give none.
@@ -26,23 +30,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import INVERSE, MULTIPLIER, as_bytes, chunks, mix64, powers
-from .shared import partitions, stage
+from .shared import stage
 
 LEAST, ANCHOR = 400, 32
-CHUNK = 1 << 20
-#: Bytes of regions in a task's group, and that are sorted at once; regions of one anchor beyond which strings are hashed instead.
-BUCKET_BYTES, SORT_BYTES, MOST_REGIONS = 3 << 19, 1 << 19, 1000
-SCANNED = "doc_id long, n_bytes long, sha string, k1 long, k2 long, anchor long, lo int, hi int"
+#: Bytes that are hashed at once, the longest piece of a text, and bytes of regions in a batch.
+CHUNK, PIECE, HELD = 1 << 20, 1 << 21, 4 << 20
+#: Bytes of regions in a task's group, and that are sorted at once; different regions of a key beyond which it is dealt again.
+BUCKET_BYTES, SORT_BYTES, MOST_REGIONS = 3 << 19, 1 << 19, 512
+#: Ranges that a range of the anchor's places is dealt into: at first, and again.
+HALVES, QUARTERS = 2, 4
+SCANNED = "doc_id long, n_bytes long, sha string, k1 long, k2 long, own long, key long, lo int, off int, r1 int, r2 int, size int"
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), *((c, pa.int64()) for c in ("k1", "k2", "own", "key")), *((c, pa.int32()) for c in ("lo", "off", "r1", "r2", "size"))])
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """From which the hash of any stretch of data follows."""
+    upto = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, len(data)), out=upto[1:])
+    return upto
+
+
+def _stretch(upto: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (upto[b] - upto[a]) * powers(INVERSE, len(upto))[a]
 
 
 def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int = LEAST, k: int = ANCHOR):
-    """Of concatenated texts: (anchor hash, first and last start of the strings that have it), places in data."""
-    n = len(data)
+    """Of concatenated texts: their sums, and (anchor, first and last start of the strings that have it), places in data."""
+    n, upto = len(data), _sums(data)
+    none = np.zeros(0, np.int64)
     if n < least:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
-    upto = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, n), out=upto[1:])
+        return upto, none, none, none
     h = mix64((upto[k:] - upto[:-k]) * powers(INVERSE, n + 1)[: n - k + 1])
     # The smallest hash, then the leftmost place: both hang on the string alone.
     low = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
@@ -56,41 +73,59 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int = L
     starts = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     at = (low[starts] & np.uint64((1 << 24) - 1)).astype(np.int64)
     if not len(at):
-        return at.astype(np.uint64), at, at
-    turn = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return h[at[turn]], starts[turn], starts[np.concatenate([turn[1:], [len(at)]]) - 1]
+        return upto, none, none, none
+    turn = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    return upto, at[turn], starts[turn], starts[np.concatenate([turn[1:], [len(at)]]) - 1]
+
+
+def deal(upto: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, r1: np.ndarray, r2: np.ndarray, parts: int, least: int = LEAST):
+    """Strings (starts lo to hi, the anchor ``at``, which is r1 to r2 bytes after a start) dealt by narrower ranges.
+
+    Returns (which string each is from, key, lo, hi, r1, r2): the key is a hash of the bytes that all strings of the range hold.
+    """
+    step = -(-(r2 - r1 + 1) // parts)
+    out = []
+    for k in range(parts):
+        a, b = r1 + k * step, np.minimum(r1 + (k + 1) * step - 1, r2)
+        low, high = np.maximum(lo, at - b), np.minimum(hi, at - a)
+        i = np.flatnonzero((a <= r2) & (low <= high))
+        key = mix64(_stretch(upto, at[i] - a[i], at[i] + least - b[i]) + mix64((a[i] << 16 | b[i]).astype(np.uint64)))
+        out.append((i, key, low[i], high[i], a[i], b[i]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _pieces(texts: list[bytes], least: int):
     """Texts as (index, offset, bytes): long ones in pieces that overlap by one string less a byte."""
     for k, t in enumerate(texts):
-        step = (1 << 23) - least
+        step = PIECE - least
         for a in range(0, max(1, len(t) - least + 1), step):
             yield k, a, t[a : a + step + least - 1]
 
 
 def _scan(batches, least: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    """For each text a row, and its dealt strings: key, where the region begins, the anchor in it, range and size."""
+    none = pa.nulls
     for batch in batches:
-        texts = as_bytes(batch.column(1))
+        texts, own = as_bytes(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
         shas = [hashlib.sha256(t).hexdigest() for t in texts]
         k1 = np.array([int(s[:15], 16) for s in shas], np.int64)
         k2 = np.array([int(s[15:30], 16) for s in shas], np.int64)
         n = len(texts)
-        none = lambda t, m: pa.nulls(m, t)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(shas), pa.array(k1), pa.array(k2), none(pa.int64(), n), none(pa.int32(), n), none(pa.int32(), n)], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(shas), pa.array(k1), pa.array(k2), pa.array(own, pa.int64()), none(n, pa.int64()), *(none(n, pa.int32()) for _ in range(5))], schema=_SCANNED)
         pieces = [p for p in _pieces(texts, least) if len(p[2]) >= least]
         for a, b in chunks([p[2] for p in pieces], CHUNK):
             part = [p[2] for p in pieces[a:b]]
             sizes = np.array([len(t) for t in part], np.int64)
             end = np.cumsum(sizes)
             begin = end - sizes
-            h, lo, hi = anchors(np.frombuffer(b"".join(part), np.uint8), begin, end, least)
+            upto, at, lo, hi = anchors(np.frombuffer(b"".join(part), np.uint8), begin, end, least)
+            zero = np.zeros(len(at), np.int64)
+            i, key, lo, hi, r1, r2 = deal(upto, at, lo, hi, zero, zero + (least - ANCHOR), HALVES, least)
             of = np.searchsorted(begin, lo, side="right") - 1
             doc = np.array([p[0] for p in pieces[a:b]], np.int64)[of]
             shift = np.array([p[1] for p in pieces[a:b]], np.int64)[of] - begin[of]
-            m = len(h)
-            yield pa.RecordBatch.from_arrays([none(pa.int64(), m), none(pa.int64(), m), none(pa.string(), m), pa.array(k1[doc]), pa.array(k2[doc]), pa.array(h.view(np.int64)), pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32))], schema=schema)
+            m = len(key)
+            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int64()), none(m, pa.string()), pa.array(k1[doc]), pa.array(k2[doc]), none(m, pa.int64()), pa.array(key.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (lo + shift, at[i] - lo, r1, r2, hi - lo + least))], schema=_SCANNED)
 
 
 def rotations(text: np.ndarray, depth: int) -> np.ndarray:
@@ -196,16 +231,16 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-SPANS = "rid binary, lo array<int>, hi array<int>"
-_SPANS = pa.schema([("rid", pa.binary()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+SPANS = "key long, rid binary, lo array<int>, hi array<int>"
+_SPANS = pa.schema([("key", pa.int64()), ("rid", pa.binary()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
 
 
-def _sort_bucket(key, table: pa.Table, least: int) -> pa.Table:
-    """Of the regions of a bucket: which bytes lie in repeated strings. Anchors are taken together while they fit SORT_BYTES."""
-    table = table.sort_by("anchor")
+def _sort_bucket(table: pa.Table, least: int) -> pa.Table:
+    """Of the regions of a bucket: which bytes lie in repeated strings. Keys are taken together while they fit SORT_BYTES."""
+    table = table.sort_by("key")
     regions, copies, rids = table.column("region").to_pylist(), table.column("copies").to_numpy(), table.column("rid").to_pylist()
-    anchor = table.column("anchor").to_numpy()
-    turns = np.append(np.flatnonzero(np.diff(anchor)) + 1, len(anchor)).tolist()
+    key = table.column("key").to_numpy()
+    turns = np.append(np.flatnonzero(np.diff(key)) + 1, len(key)).tolist()
     size = np.concatenate([[0], np.cumsum([len(r) + 1 for r in regions])])
     los, his, begin = [], [], 0
     for k, end in enumerate(turns):
@@ -218,40 +253,56 @@ def _sort_bucket(key, table: pa.Table, least: int) -> pa.Table:
             his.append((b + least - 1).astype(np.int32))
             at += len(r) + 1
         begin = end
-    return pa.table([pa.array(rids, pa.binary()), pa.array(los, _SPANS.field(1).type), pa.array(his, _SPANS.field(2).type)], schema=_SPANS)
+    return pa.table([pa.array(key), pa.array(rids, pa.binary()), pa.array(los, _SPANS.field(2).type), pa.array(his, _SPANS.field(3).type)], schema=_SPANS)
 
 
-def _cut(batches, least: int):
-    """The regions of each text: rid, where it begins, and its bytes."""
+CUT = "k1 long, k2 long, n long, key long, lo int, off int, r1 int, r2 int, rid binary, region binary"
+_CUT = pa.schema([*((c, pa.int64()) for c in ("k1", "k2", "n", "key")), *((c, pa.int32()) for c in ("lo", "off", "r1", "r2")), ("rid", pa.binary()), ("region", pa.binary())])
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
+
+
+def _cut(batches):
+    """The regions of each text: key, where it begins, the anchor in it, its range, a hash of its bytes and they themselves."""
     import xxhash
 
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("lo", pa.int32()), ("rid", pa.binary()), ("region", pa.binary())])
     for batch in batches:
-        texts = as_bytes(batch.column(2))
         out: list[tuple] = []
         held = 0
-        for k1, k2, t, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist(), strict=True):
-            for m in marks:
-                region = t[m["lo"] : m["hi"] + least]
-                held += len(region)
-                out.append((k1, k2, m["anchor"], m["lo"], xxhash.xxh3_128_digest(region), region))
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out, held = [], 0
+        for k1, k2, n, t, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(3)), batch.column(4), strict=True):
+            for key, lo, off, r1, r2, size in zip(*(marks.values.field(c).to_pylist() for c in ("key", "lo", "off", "r1", "r2", "size")), strict=True):
+                region = t[lo : lo + size]
+                held += size
+                out.append((k1, k2, n, key, lo, off, r1, r2, xxhash.xxh3_128_digest(region), region))
+                if held > HELD:
+                    yield _rows(out)
+                    out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield _rows(out)
 
 
-def _strings(batches, least: int):
-    """Of regions: a 128-bit hash of each string of ``least`` bytes, with its place."""
-    schema = pa.schema([("rid", pa.binary()), ("copies", pa.int64()), ("at", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+def _deal_again(batches, least: int):
+    """Regions (rows as _cut's) by narrower ranges of the anchor's place."""
+    import xxhash
+
     for batch in batches:
-        for rid, region, copies in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            data, m, both = np.frombuffer(region, np.uint8).astype(np.uint64) + np.uint64(1), len(region) - least + 1, []
-            for by in (MULTIPLIER, MULTIPLIER ^ 0x5DEECE66D0000000 | 1):
-                upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(data + np.uint64(by)) * powers(by, len(data)))])
-                both.append(mix64((upto[least:] - upto[:-least]) * powers(pow(by, -1, 1 << 64), m)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([rid] * m, pa.binary()), pa.array([copies] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), *map(pa.array, both)], schema=schema)
+        regions = batch.column(9).to_pylist()
+        for a, b in chunks(regions, HELD):
+            part = regions[a:b]
+            sizes = np.array([len(r) for r in part], np.int64)
+            begin = np.cumsum(sizes) - sizes
+            cols = [batch.column(c)[a:b].to_numpy().astype(np.int64) for c in range(8)]
+            k1, k2, n, _, lo, off, r1, r2 = cols
+            data = b"".join(part)
+            i, key, low, high, s1, s2 = deal(_sums(np.frombuffer(data, np.uint8)), begin + off, begin, begin + sizes - least, r1, r2, QUARTERS, least)
+            cut = [data[x:y] for x, y in zip(low.tolist(), (high + least).tolist(), strict=True)]
+            for x in range(0, len(cut), 1 << 14):  # four narrower regions are up to four times the bytes
+                s = slice(x, x + (1 << 14))
+                j = i[s]
+                ints = (lo[j] + low[s] - begin[j], (begin + off)[j] - low[s], s1[s], s2[s])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[j]), pa.array(k2[j]), pa.array(n[j]), pa.array(key[s].view(np.int64)), *(pa.array(y.astype(np.int32)) for y in ints), pa.array([xxhash.xxh3_128_digest(r) for r in cut[s]], pa.binary()), pa.array(cut[s], pa.binary())], schema=_CUT)
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -273,40 +324,58 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _own(doc_id: Column) -> Column:
+    """Tells rows with equal texts apart, but for those with equal ids."""
+    return F.xxhash64(doc_id.cast("long"))
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST, doc_id: str = "doc_id", most_regions: int = MOST_REGIONS) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): a row for each document (doc_id, n_bytes, sha, k1, k2), and the repeated spans of each distinct text (k1, k2, lo, hi; they may overlap)."""
-    scanned = stage(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(lambda it: _scan(it, least), SCANNED), "suffix-scan")
-    marks = scanned.where("anchor is not null")
-    # A table of its own: then both sides of the join are shuffled for it, and Spark can split an anchor with many rows.
-    twice = stage(marks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-twice")
-    marked = marks.join(twice, "anchor").select("k1", "k2", "anchor", "lo", "hi").distinct()
-    per_text = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("marks"))
-    texts = docs.select(*_text_key(F.col(text)), F.col(text).alias("text"))
-    cut = stage(texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "marks").mapInArrow(lambda it: _cut(it, least), "k1 long, k2 long, anchor long, lo int, rid binary, region binary"), "suffix-regions")
-    regions = stage(cut.groupBy("rid").agg(F.count("*").alias("copies"), F.first("anchor").alias("anchor"), F.first("region").alias("region")), "suffix-distinct")
-    of_anchor = regions.groupBy("anchor").agg(F.count("*").alias("n"))
-    many = of_anchor.where(F.col("n") > most_regions).select("anchor")
-    size = regions.agg(F.sum(F.length("region"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    few = regions.join(many, "anchor", "left_anti")
-    found = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("bucket", "anchor", "rid", "copies", "region").groupBy("bucket").applyInArrow(lambda key, t: _sort_bucket(key, t, least), SPANS)
-    found = found.select("rid", F.explode(F.arrays_zip("lo", "hi")).alias("s")).select("rid", "s.lo", "s.hi")
-    # Dealt by region, not by anchor: these are the anchors that would make large tasks.
-    strings = regions.join(many, "anchor", "left_semi").select("rid", "region", "copies").repartition(partitions(docs.sparkSession), "rid").mapInArrow(lambda it: _strings(it, least), "rid binary, copies long, at int, s1 long, s2 long")
-    again = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("n")).where("n > 1").select("s1", "s2")
-    found = found.unionByName(strings.join(again, ["s1", "s2"]).select("rid", F.col("at").alias("lo"), (F.col("at") + least).alias("hi")))
-    found = stage(found, "suffix-spans")
-    places = cut.select("k1", "k2", "rid", F.col("lo").alias("at")).distinct()
-    spans = places.join(found, "rid").select("k1", "k2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
-    return scanned.where("anchor is null").select("doc_id", "n_bytes", "sha", "k1", "k2"), spans
+    """(rows, spans): a row for each document (doc_id, n_bytes, sha, k1, k2, own), and the repeated spans of each distinct text (k1, k2, lo, hi; they may overlap)."""
+    scanned = stage(docs.select(F.col(doc_id).cast("long"), text, _own(F.col(doc_id))).mapInArrow(lambda it: _scan(it, least), SCANNED), "suffix-scan")
+    rows, marks = scanned.where("key is null"), scanned.where("key is not null")
+    # Tables of their own: then both sides of the joins are shuffled for them, and Spark can split a key with many rows.
+    twice = stage(marks.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "suffix-twice")
+    marked = marks.join(twice, "key").select("k1", "k2", "key", "lo", "off", "r1", "r2", "size").distinct()
+    per_text = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "lo", "off", "r1", "r2", "size")).alias("marks"))
+    equal = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("own").alias("own"))
+    per_text = stage(equal.join(per_text, ["k1", "k2"]), "suffix-marks")
+    cut = stage(_one_of_each(docs, text, doc_id, per_text).select("k1", "k2", "n", "text", "marks").mapInArrow(_cut, CUT), "suffix-regions")
+
+    cuts, found = [], []
+    while cut is not None:
+        regions = stage(cut.groupBy("key", "rid").agg(F.sum("n").alias("copies"), F.first("region").alias("region")), "suffix-distinct")
+        of_key = stage(regions.groupBy("key").agg(F.count("*").alias("different"), F.sum("copies").alias("all"), F.sum(F.length("region")).alias("size")).where("all > 1"), "suffix-keys")
+        few = of_key.where(F.col("different") <= most_regions).select("key", "size")
+        size = few.agg(F.sum("size")).first()[0] or 0
+        bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-size // BUCKET_BYTES))))
+        got = regions.join(few.select("key"), "key").withColumn("bucket", bucket).select("bucket", "key", "rid", "copies", "region").groupBy("bucket").applyInArrow(lambda key, t: _sort_bucket(t, least), SPANS)
+        got = got.select("key", "rid", F.explode(F.arrays_zip("lo", "hi")).alias("s")).select("key", "rid", "s.lo", "s.hi")
+        found.append(stage(got, "suffix-spans"))
+        cuts.append(cut)
+        many = of_key.where(F.col("different") > most_regions).select("key")
+        cut = None if many.isEmpty() else stage(cut.join(many, "key").select(*_CUT.names).mapInArrow(lambda it: _deal_again(it, least), CUT), "suffix-again")
+
+    spans = None
+    for cut, got in zip(cuts, found, strict=True):
+        places = cut.select("k1", "k2", "key", "rid", F.col("lo").alias("at"))
+        own = places.join(got, ["key", "rid"]).select("k1", "k2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+        spans = own if spans is None else spans.unionByName(own)
+    return rows.select("doc_id", "n_bytes", "sha", "k1", "k2", "own"), spans
+
+
+def _one_of_each(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
+    """The texts (k1, k2, text) that ``wanted`` names by k1, k2 and own, with its columns; once each, however many rows are equal."""
+    texts = docs.select(*_text_key(F.col(text)), _own(F.col(doc_id)).alias("own"), F.col(text).alias("text"))
+    more = [c for c in wanted.columns if c not in ("k1", "k2", "own")]
+    return texts.join(wanted, ["k1", "k2", "own"]).groupBy("k1", "k2", "own").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in more))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", least: int = LEAST, doc_id: str = "doc_id", most_regions: int = MOST_REGIONS) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows, spans = repeated_spans(docs, text, least, doc_id, most_regions)
-    per_text = stage(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-per-text")
-    texts = docs.select(*_text_key(F.col(text)), F.col(text).alias("text")).join(per_text.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    gone = texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(_remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
+    per_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    wanted = stage(rows.groupBy("k1", "k2").agg(F.min("own").alias("own")).join(per_text, ["k1", "k2"]), "suffix-per-text")
+    gone = _one_of_each(docs, text, doc_id, wanted).select("k1", "k2", "text", "spans").mapInArrow(_remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
     gone = stage(gone, "suffix-removed")
     none = F.lit(0).cast("long")
     return rows.join(gone, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -264,7 +265,7 @@ def without_repeats(texts, least):
     return out
 
 
-@pytest.mark.parametrize("most_regions", [1000, 0])
+@pytest.mark.parametrize("most_regions", [suffix.MOST_REGIONS, 8])
 def test_repeats(spark, most_regions):
     r = random.Random(8)
     base = "".join(r.choice("abcdefgh \né") for _ in range(3000))
@@ -281,6 +282,50 @@ def test_repeats(spark, most_regions):
     assert suffix.remove_repeats(df.where("false")).count() == 0
 
 
+def test_planted_passages(spark):
+    """Passages of 400 bytes or more in otherwise different texts go, whole; shorter ones stay; also far into a long text."""
+    r = random.Random(4)
+    say = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz    ", k=n))
+    passages = [say(n) for n in (399, 400, 401, 900)]
+    edges = string.digits + string.ascii_uppercase + string.punctuation  # a byte each that differs before and after every copy
+    texts, want = [], []
+    for k in range(160):
+        p = passages[k % 4]
+        texts.append(say(r.randint(50, 700)) + edges[k // 4] + p + edges[-1 - k // 4] + say(60))
+        want.append(0 if len(p) < 400 else len(p))
+    long = say(2 * suffix.PIECE + 5000)
+    for at in (0, suffix.PIECE - 700, suffix.PIECE - suffix.LEAST, 2 * suffix.PIECE - 1000):
+        texts.append("#" + long[at : at + 500] + "#")
+        want.append(500)
+    texts.append(long)
+    want.append(1700 + (suffix.PIECE - suffix.LEAST + 500) - (suffix.PIECE - 700) - 700)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["n_removed"] for x in suffix.remove_repeats(df, most_regions=16).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_dealt_rows_grow_with_the_input():
+    """A passage in very many texts costs a fixed number of rows each time, at each narrowing."""
+    r = np.random.default_rng(6)
+    passage = r.integers(97, 123, 420).astype(np.uint8).tobytes()
+    for times in (20, 200):
+        parts = [r.integers(97, 123, 300).astype(np.uint8).tobytes() + passage + r.integers(97, 123, 300).astype(np.uint8).tobytes() for _ in range(times)]
+        end = np.cumsum([len(p) for p in parts])
+        begin = end - 1020
+        upto, at, lo, hi = suffix.anchors(np.frombuffer(b"".join(parts), np.uint8), begin, end)
+        assert (hi - lo + 1).sum() == times * (1020 - suffix.LEAST + 1)
+        r1, r2, level = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64) + suffix.LEAST - suffix.ANCHOR, 0
+        while len(at):
+            i, key, lo, hi, r1, r2 = suffix.deal(upto, at, lo, hi, r1, r2, suffix.QUARTERS)
+            _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+            shared = (n > 1)[back]
+            # Keys that more texts than one hold; those of one different region (a string each, at last) are done.
+            keep = shared & (r2 > r1)
+            at, lo, hi, r1, r2, level = at[i][keep], lo[keep], hi[keep], r1[keep], r2[keep], level + 1
+            assert len(key) <= 160 * times
+        assert level <= 6
+
+
 def test_repeats_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = dict(zip((d["doc_id"] for d in docs), without_repeats([d["text"] for d in docs], 400), strict=True))
