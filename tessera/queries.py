@@ -330,9 +330,14 @@ def j14(t):
     return t.nation.select("n_nationkey", U.schema_leaf_paths(schema).alias("paths"))
 
 
-@query("j16_minimal_instances", """SELECT p_partkey, '{"size": ' || p_size || ', "name": ""}' AS made FROM part WHERE false UNION ALL SELECT p_partkey, '{"size": ' || (CAST(ceil(p_size / 4.0) AS INTEGER) * 4) || ', "name": "a"}' AS made FROM part""")
+@query("j16_minimal_instances", """SELECT p_partkey, '{"size": ' || (CAST(ceil(p_size / 4.0) AS INTEGER) * 4) || ', "name": "a", "kind": "a", "at": "2024-01-01", "list": [true, "a", "a"], "ref": ' || p_size || '}' AS made FROM part""")
 def j16(t):
-    schema = F.format_string('{"type":"object","required":["size","name"],"properties":{"name":{"type":["null","string"]},"size":{"type":"integer","minimum":%d,"multipleOf":4}}}', "p_size")
+    schema = F.format_string(
+        '{"type":"object","required":["size","name","kind","at","list","ref"],"$defs":{"n":{"type":"integer"}},"properties":{"name":{"type":["null","string"]},"size":{"type":"integer","minimum":%d,"multipleOf":4},'
+        '"kind":{"anyOf":[{"enum":[]},{"type":"string"}]},"at":{"type":"string","format":"date","minLength":3},"list":{"type":"array","prefixItems":[{"type":"boolean"}],"items":{"type":"string"},"minItems":3},"ref":{"$ref":"#/$defs/n","minimum":%d}}}',
+        "p_size",
+        "p_size",
+    )
     return t.part.select("p_partkey", U.json_minimal(schema).alias("made"))
 
 
@@ -405,10 +410,13 @@ def a4(t):
     return t.events.select("event_id", U.eval_json(F.when(k == 0, '{"b":1}').when(k == 1, '{"b":2}').otherwise('{"a":null,"b":1,"c":0}'), F.lit('{"a":null,"b":1}'), F.lit("{}")).alias("m")).select("event_id", "m.value_match")
 
 
-@query("a5_noise_arrays", "SELECT conv_id, round(len(list_filter(list_distinct(list(role)), lambda x: x NOT IN ('user', 'assistant'))) / len(list_distinct(list(role)))::DOUBLE, 9) AS noise FROM conversations GROUP BY conv_id")
+@query("a5_noise_arrays", """SELECT event_id, round(CASE event_id % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.5 WHEN 4 THEN 2.0 / 3 ELSE 1.0 / 3 END::DOUBLE, 9) AS noise FROM events""")
 def a5(t):
-    roles = t.conversations.groupBy("conv_id").agg(F.collect_set("role").alias("r"))
-    return roles.select("conv_id", F.round(F.size(F.array_except("r", F.array(F.lit("user"), F.lit("assistant")))) / F.size("r"), 9).alias("noise"))
+    # A bare value, a value under an empty key, a list of bare values, an unknown key, one in a list, and a dotted property.
+    preds = ["5", '{"":1}', "[1,2]", '{"a":1,"z":2}', '[{"a":1,"z":2}]', '{"b":{"x":"1"},"q":"2"}']
+    schema = '{"type":"object","required":["none"],"properties":{"a":{"type":"integer"},"c.b":{"properties":{"x":{"type":"integer"}}}}}'
+    pred = F.element_at(F.array(*map(F.lit, preds)), (F.col("event_id") % 6 + 1).cast("int"))
+    return t.events.select("event_id", U.eval_json(pred, F.lit("{}"), F.lit(schema)).alias("m")).select("event_id", F.round("m.noise_ratio", 9).alias("noise"))
 
 
 @query("a6_judge_scores", "SELECT event_id, CASE WHEN event_id % 7 BETWEEN 1 AND 5 THEN (event_id % 7 - 1) / 4.0 END::DOUBLE AS score FROM events")
@@ -671,7 +679,7 @@ def u3(t):
 
 @query("u4_key_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def u4(t):
-    return t.documents.select("doc_id").exceptAll(t.labels.select("doc_id"))
+    return t.documents.select("doc_id").subtract(t.labels.select("doc_id"))
 
 
 @query("u5_drop_empty", "SELECT doc_id FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id END AS doc_id FROM documents) WHERE doc_id IS NOT NULL")
