@@ -7,7 +7,8 @@ import numpy as np
 #: An odd multiplier (2**64 over the golden ratio) and its inverse modulo 2**64.
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-CHUNK = 2 << 20
+#: Bytes of texts that are taken at once: with what is added between them, tables of powers stay below 2**20.
+CHUNK = (1 << 20) - (1 << 14)
 _POWERS: dict[int, np.ndarray] = {}
 
 

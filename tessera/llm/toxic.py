@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, stage
+from .bytewords import SPACED, Words, as_bytes, chunks
+from .shared import stage
 
-MOST_LABELLED = 20_000
+MOST_LABELLED, LABELLED_TASKS = 20_000, 24
 #: A word or stem needs so many different neighbours in toxic texts, and at most this share of the texts that use it untoxic.
 LEAST_CONTEXTS, MOST_CLEAN = 5, 0.02
 STEMS = range(5, 9)
@@ -37,6 +38,7 @@ CACHE_WORDS = 400_000
 # Words of reporting and quotation marks, by pairs or alike at both ends.
 REPORTING = set("said says say wrote writes called calls calling quote quoted quotes quoting term word words reported according dit écrit sagte schrieb nannte zitat dijo escribió llamó".split())
 QUOTES = "\"“”„«»‘’"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: Prior means of the weights: of abusive hits, fuzzy hits, quoted hits (each log(1 + count)), hits in a hundred words, and 1.
 PRIOR = np.array([5.0, 3.6, 0.8, 0.3, -3.6])
@@ -47,14 +49,14 @@ class Automaton:
 
     def __init__(self, edits: int = 1):
         self.edits, self.memo = edits, {}
-        self.reach = edits + 2
+        self.reach = 2 * edits + 2  # letters ahead that a step can ask for
 
     def start(self) -> frozenset:
         return frozenset([(0, 0, False)])
 
     def step(self, state: frozenset, base: int, word: str, char: str) -> tuple[frozenset, int]:
         """The state after a char of the trie, and its base: positions in the word count from there."""
-        window = word[base : base + 2 * self.reach]
+        window = word[base : base + self.reach]
         key = (state, tuple(c == char for c in window))
         if key not in self.memo:
             same, out = key[1], set()
@@ -88,26 +90,39 @@ class Trie:
 
     def __init__(self, words, stems=()):
         self.root: dict = {}
-        self.heads, self.tails = set(), set()
+        #: By length of the lexicon's words: (letters at the head, at the tail, the words' heads, their tails).
+        self.ends: dict[int, tuple[int, int, set, set]] = {}
         for w in words:
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
             if len(w) >= SHORTEST_FUZZY:
-                for n in (-1, 0, 1):  # one edit leaves the first two letters or the last two as they are
-                    self.heads.add((w[:2], len(w) + n))
-                    self.tails.add((w[-2:], len(w) + n))
+                # One edit leaves so many of the first letters as they are, or so many of the last ones.
+                n = len(w)
+                head, tail, heads, tails = self.ends.setdefault(n, ((n - 1) // 2, n // 2, set(), set()))
+                heads.add(w[:head])
+                tails.add(w[-tail:])
         self.by_stem, self.words = set(stems), set(words)
         self.automaton = Automaton(1)
 
     def exact(self, word: str) -> bool:
-        return word in self.words or any(word[:n] in self.by_stem for n in STEMS)
+        if word in self.words:
+            return True
+        for n in STEMS:
+            if word[:n] in self.by_stem:
+                return True
+        return False
 
     def near(self, word: str) -> str | None:
         """A word of the trie within one edit, the first in order; or None."""
         n = len(word)
-        if n < SHORTEST_FUZZY - 1 or (word[:2], n) not in self.heads and (word[-2:], n) not in self.tails:
+        for k in (n - 1, n, n + 1):
+            if k in self.ends:
+                head, tail, heads, tails = self.ends[k]
+                if word[:head] in heads or word[-tail:] in tails:
+                    break
+        else:
             return None
         auto = self.automaton
         found, todo = None, [(self.root, auto.start(), 0)]
@@ -126,7 +141,8 @@ class Trie:
 
 def bare(word: str) -> str:
     """A word without what isn't a letter or digit at its ends."""
-    return EDGE.sub("", word)
+    word = word.strip(MARKS)
+    return EDGE.sub("", word) if word and not (word[0].isalnum() and word[-1].isalnum()) else word
 
 
 @dataclass
@@ -141,48 +157,63 @@ class Model:
 
 
 class Matcher:
-    """Finds the hits of texts; one a task, with a memory of words."""
+    """Finds the hits of texts; one a task, with a memory of words (by their hashes)."""
 
     def __init__(self, model: Model):
-        trie, clean = Trie(model.words, model.stems), model.clean
-
-        class Seen(dict):
-            def __missing__(self, raw: str) -> int:
-                if len(self) > CACHE_WORDS:
-                    self.clear()
-                w = bare(raw)
-                code = self[raw] = 1 if w and trie.exact(w) else 2 if w and w not in clean and trie.near(w) else 0
-                return code
-
-        self.seen, self.weights, self.any = Seen(), model.weights, bool(model.words or model.stems)
+        self.trie, self.clean, self.weights, self.any = Trie(model.words, model.stems), model.clean, model.weights, bool(model.words or model.stems)
+        self.seen: dict[int, int] = {}
+
+    def code(self, raw: str) -> int:
+        """1: a word of the lexicon, 2: a variant of one, 0: neither; of a word with A-Z in lower case."""
+        found = 0
+        for part in (raw,) if raw.isascii() else raw.lower().split():  # letters and white space beyond ASCII
+            w = bare(part)
+            if w and self.trie.exact(w):
+                return 1
+            if w and w not in self.clean and self.trie.near(w):
+                found = 2
+        return found
 
-    def hits(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words, the places of the hits, and their kinds: 1 a lexicon word, 2 a variant."""
-        words = (text or "").lower().split()
-        codes = np.fromiter(map(self.seen.__getitem__, words), np.int8, len(words)) if self.any else np.zeros(len(words), np.int8)
-        at = np.flatnonzero(codes)
-        return words, at, codes[at]
+    def hits(self, texts: list[bytes]):
+        """(first text, Words, places of the hits, kinds of these, text of each) of runs of texts; each distinct word of a run is looked up once."""
+        for a, b in chunks(texts):
+            words = Words(texts[a:b], SPACED)
+            own, first, of = np.unique(words.hashes() if self.any else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+            if len(self.seen) > CACHE_WORDS:
+                self.seen.clear()
+            seen, codes = self.seen, np.zeros(len(own), np.int8)
+            for k, h in enumerate(own.tolist()):
+                code = seen.get(h)
+                if code is None:
+                    code = seen[h] = self.code(words.word(int(first[k])).decode(errors="replace"))
+                if code:
+                    codes[k] = code
+            at = np.flatnonzero(codes[of]) if self.any else np.zeros(0, np.int64)
+            yield a, words, at, codes[of[at]], np.searchsorted(words.first, at, side="right") - 1
 
     @staticmethod
     def quoted(words: list[str], at: int) -> bool:
         """Whether a hit stands between quotation marks within the window, or after a word of reporting with a mark."""
         w = words[at]
         before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
-        opens = any(x[:1] and x[0] in QUOTES for x in (*before[-WINDOW:], w))
+        opens = any(x[:1] and x[0] in QUOTES for x in (*before, w))
         closes = any(x.rstrip(".,;:!?)")[-1:] and x.rstrip(".,;:!?)")[-1] in QUOTES for x in (w, *after))
         return opens and closes or any(bare(x) in REPORTING for x in before[-3:]) and (opens or closes)
 
-    def features(self, text: str | None) -> np.ndarray:
-        words, at, kinds = self.hits(text)
-        exact = fuzzy = quoted = 0
-        for i, k in zip(at.tolist(), kinds.tolist(), strict=True):
-            if self.quoted(words, i):
-                quoted += 1
-            elif k == 1:
-                exact += 1
-            else:
-                fuzzy += 1
-        return np.array([math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), min(10.0, 100.0 * (exact + 0.5 * fuzzy) / max(1, len(words))), 1.0])
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """A row for each text: its abusive, fuzzy and quoted hits, each as log(1 + count), the hits in a hundred words, and 1."""
+        count, n = np.zeros((len(texts), 3)), np.zeros(len(texts))
+        for a, words, at, kinds, of in self.hits(texts):
+            n[a : a + len(words.first) - 1] = np.diff(words.first)
+            for i, kind, k in zip(at.tolist(), kinds.tolist(), of.tolist(), strict=True):
+                begin, end = max(int(words.first[k]), i - WINDOW), min(int(words.first[k + 1]), i + 1 + WINDOW)
+                near = [words.word(j).decode(errors="replace").lower() for j in range(begin, end)]
+                count[a + k, 2 if self.quoted(near, i - begin) else kind - 1] += 1
+        rate = np.minimum(10.0, 100.0 * (count[:, 0] + 0.5 * count[:, 1]) / np.maximum(1, n))
+        return np.column_stack([np.log1p(count), rate, np.ones(len(texts))])
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return score(self.features(texts), self.weights)
 
 
 def score(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -249,16 +280,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     if n > most:
         known = known.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 20)) < int((1 << 20) * most / n))
     # The broadcast rows are bounded by ``most``.
-    rows = stage(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).select("text", "toxic"), "labelled")
-    rows = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), 24)))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).select("text", "toxic")
+    rows = stage(labelled.repartition(LABELLED_TASKS), "labelled")
     toxic = rows.where("toxic = 1").select("text").mapInArrow(_contexts, "key string, n long, bits long").groupBy("key").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
     candidates = {r["key"]: r["n"] for r in toxic.where(F.bit_count("bits") >= LEAST_CONTEXTS).select("key", "n").toLocalIterator()}
 
     def clean(batches):
-        count: dict[str, int] = {}
+        class Keys(dict):
+            def __missing__(self, raw: str) -> frozenset:
+                got = self[raw] = frozenset(k for k, _ in _keys([raw]) if k in candidates)
+                return got
+
+        keys, count = Keys(), {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for key in {k for k, _ in _keys((text or "").lower().split())} & candidates.keys():
+                for key in frozenset().union(*map(keys.__getitem__, set((text or "").lower().split()))):
                     count[key] = count.get(key, 0) + 1
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], names=["key", "n"])
@@ -273,9 +309,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     def variants(batches):
         matcher, found = model.matcher(), set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words, at, kinds = matcher.hits(text)
-                found |= {bare(words[i]) for i, k in zip(at.tolist(), kinds.tolist(), strict=True) if k == 2}
+            for _, words, at, kinds, _ in matcher.hits(as_bytes(batch.column(0))):
+                found |= {bare(part) for raw in {words.word(i) for i in at[kinds == 2].tolist()} for part in raw.decode(errors="replace").lower().split()}
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found))], names=["word"])
 
@@ -284,7 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     def features(batches):
         matcher = model.matcher()
         for batch in batches:
-            x = np.array([matcher.features(t) for t in batch.column(0).to_pylist()], np.float64).reshape(-1, len(PRIOR))
+            x = matcher.features(as_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*"abcde", "toxic"])
 
     got = rows.select("text", "toxic").mapInArrow(features, "a double, b double, c double, d double, e double, toxic int").groupBy("a", "b", "c", "d", "e").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("y"), F.count("*").alias("n")).collect()
@@ -296,21 +331,24 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     return model
 
 
-def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", score_name: str = "score") -> DataFrame:
-    """The kept columns and the score of each row."""
-    ddl = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"`{score_name}` double"
+def score_texts(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and score of each row."""
 
     def work(batches):
         matcher = model.matcher()
         for batch in batches:
-            x = np.array([matcher.features(t) for t in batch.column(len(keep)).to_pylist()], np.float64).reshape(-1, len(PRIOR))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(score(x, model.weights))], names=[*keep, score_name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matcher.scores(as_bytes(batch.column(1))))], names=["doc_id", "score"])
 
-    return docs.select(*keep, F.col(text).alias(fresh(docs, "toxic_text"))).mapInArrow(work, ddl)
+    return docs.select(doc_id, text).mapInArrow(work, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
 
 
-def untoxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id and text among the columns) that score below 0.5."""
-    name = fresh(docs, "toxic_score")
-    scored = score_texts(docs, learn(docs, labels), tuple(docs.columns), score_name=name)
-    return scored.where(F.col(name) < 0.5).select(*docs.columns)
+def untoxic_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs (doc_id and text among the columns) that score below 0.5; each text goes to Python once."""
+    model, at = learn(docs, labels), docs.columns.index(text)
+
+    def work(batches):
+        matcher = model.matcher()
+        for batch in batches:
+            yield batch.filter(pa.array(matcher.scores(as_bytes(batch.column(at))) < 0.5))
+
+    return docs.mapInArrow(work, docs.schema)

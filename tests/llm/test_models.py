@@ -47,7 +47,7 @@ def test_automaton_against_distance():
 
 def test_quotation():
     m = toxic.Model(LEXICON).matcher()
-    low = lambda t: toxic.score(m.features(t)[None], m.weights)[0]
+    low = lambda t: m.scores([t.encode()])[0]
     assert low('they wrote "what an idiot" in the paper') < 0.5 < low("you are an idiot") and low("nothing here") < 0.1 and low("you idiit and moorn") > 0.5
 
 
