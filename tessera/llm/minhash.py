@@ -1,8 +1,11 @@
 """Near copies by the Jaccard similarity of their five-word shingles: 0.8 or more, told exactly.
 
-Candidates meet by min-hashes: of 128 orders of all shingles a text's first in each, four at a time make 32 keys. Two texts of
-similarity s share none of them with a probability of (1 - s**4) ** 32: 5e-8 at 0.8. Every candidate is then compared shingle by
-shingle (64-bit hashes). SimHash fingerprints don't serve here: at 0.8 they differ in 4 to 14 of 64 bits (sf0.1).
+Candidates meet in two ways. First by SimHash: fingerprints of the shingles that a pigeonring finds within 3 bits. But
+at 0.8 two texts differ in 4 to 14 of 64 bits (sf0.1), and within 14 bits all documents have chance neighbours, more of them the
+more documents there are. So those farther apart meet by min-hashes: of 128 orders of all shingles a text's first in
+each; 96 keys are made of eight of these firsts each, chosen once at random. Two texts of similarity s share a key with a
+probability of s**8: at 0.8 one in six, so one of 96 but for less than one pair in 10,000 (the test counts it), at 0.5 one in
+256, so texts that only have a passage in common seldom meet. Every candidate is then compared shingle by shingle (64-bit hashes).
 
 Texts of the same words are one node. A key with up to 32 nodes gives all pairs; one with more compares its nodes with four of
 them, and then those that didn't come together with the most with all others of the key: nothing is left out.
@@ -19,15 +22,18 @@ from pyspark.sql import functions as F
 
 from .bytewords import SPACED, Words, as_bytes, grams, mix64
 from .shared import components, stage
+from .simhash import link_fingerprints, majority
 
 WORDS_EACH, SIMILAR = 5, 0.8
-BANDS, EACH = 32, 4
+ORDERS, KEYS, EACH = 128, 96, 8
 #: Nodes of a key that are compared pair by pair in the first round.
 MOST_NODES = 32
 #: Shingles that are put in all orders at once.
 STEP = 1 << 12
 _RNG = np.random.default_rng(17)
-_TIMES, _PLUS = (_RNG.integers(0, 1 << 63, BANDS * EACH).astype(np.uint64) << np.uint64(1) | np.uint64(1)), _RNG.integers(0, 1 << 63, BANDS * EACH).astype(np.uint64)
+_TIMES, _PLUS = (_RNG.integers(0, 1 << 63, ORDERS).astype(np.uint64) << np.uint64(1) | np.uint64(1)), _RNG.integers(0, 1 << 63, ORDERS).astype(np.uint64)
+#: Which orders make up each key.
+CHOSEN = np.array([_RNG.choice(ORDERS, EACH, replace=False) for _ in range(KEYS)])
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -36,14 +42,20 @@ def shingles(text: bytes) -> np.ndarray:
     return grams(h, min(WORDS_EACH, len(h))) if len(h) else h
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """The 32 keys of a text's shingles."""
-    least = np.full(BANDS * EACH, np.iinfo(np.uint64).max, np.uint64)
+def firsts(h: np.ndarray) -> np.ndarray:
+    """The least of a text's shingles in each order."""
+    least = np.full(ORDERS, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(h), STEP):
         np.minimum(least, (h[a : a + STEP, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    out = np.arange(BANDS, dtype=np.uint64)
+    return least
+
+
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """The keys of a text's shingles."""
+    least = firsts(h)[CHOSEN]
+    out = np.arange(KEYS, dtype=np.uint64)
     for k in range(EACH):
-        out = mix64(out ^ least[k::EACH]) * np.uint64(0x9E3779B97F4A7C15)
+        out = mix64(out ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
     return out
 
 
@@ -54,36 +66,61 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def _nodes(batches):
+    """A text's node (a hash of its words), its fingerprint and its keys."""
     import xxhash
 
     for batch in batches:
-        nodes, keys = [], []
+        nodes, prints, keys = [], [], []
         for t in as_bytes(batch.column(1)):
             nodes.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split())))
             h = shingles(t)
-            keys.append(band_keys(h).view(np.int64) if len(h) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["k", "node", "keys"])
+            prints.append(majority(h))
+            keys.append(keys_of(np.unique(h)).view(np.int64) if len(h) else [])
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), signed(nodes), signed(prints), pa.array(keys, pa.list_(pa.int64()))], names=["k", "node", "print", "keys"])
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that have fingerprints within 3 bits, or equal ones: one node stands for each fingerprint."""
+    first = stage(nodes.groupBy("print").agg(F.min("node").alias("first")), "minhash-prints")
+    near = link_fingerprints(first.select("print"))
+    of = lambda c: first.select(F.col("print").alias(c), F.col("first").alias(f"{c}_node"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return near.unionByName(nodes.join(first, "print").select(F.col("node").alias("a"), F.col("first").alias("b")))
+
+
+def _shingle_sets(batches):
+    """A node's different shingles, in order, and their number."""
+    for batch in batches:
+        sets = [np.unique(shingles(t)) for t in as_bytes(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["node", "own", "n"])
 
 
 def _alike(batches):
     for batch in batches:
-        same = [jaccard(x, y) >= SIMILAR for x, y in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True)]
+        same = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            same.append(both >= SIMILAR * (len(a) + len(b) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of nodes whose texts are alike; ``texts``: k, text."""
+    """Those pairs (a, b) of nodes whose texts are alike; ``texts``: k, text. Sets whose sizes already differ too much aren't compared."""
     pairs = stage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    of = stage(texts.join(nodes.join(wanted, "node").select("k", "node"), "k").groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
-    both = pairs.join(of.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    of = texts.join(nodes.join(wanted, "node").select("k", "node"), "k").groupBy("node").agg(F.first("text").alias("text"))
+    of = stage(of.select("node", "text").mapInArrow(_shingle_sets, "node long, own binary, n long"), "minhash-sets")
+    named = lambda c, own, n: of.select(F.col("node").alias(c), F.col("own").alias(own), F.col("n").alias(n))
+    both = pairs.join(named("a", "x", "nx"), "a").join(named("b", "y", "ny"), "b").where(F.least("nx", "ny") >= SIMILAR * F.greatest("nx", "ny"))
     return stage(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "minhash-links")
 
 
 def near_copies(texts: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     """(k, root) for each row of texts (k: long, text): root is the same for texts that pairs of 0.8 or more connect."""
-    found = stage(texts.select("k", "text").mapInArrow(_nodes, "k long, node long, keys array<long>"), "minhash")
-    nodes = stage(found.groupBy("node").agg(F.min("k").alias("k"), F.first("keys").alias("keys")), "minhash-nodes")
+    found = stage(texts.select("k", "text").mapInArrow(_nodes, "k long, node long, print long, keys array<long>"), "minhash")
+    nodes = stage(found.groupBy("node").agg(F.min("k").alias("k"), F.first("print").alias("print"), F.first("keys").alias("keys")), "minhash-nodes")
     rows = nodes.select(F.explode("keys").alias("key"), "node")
     other = F.col("node").bitwiseXOR(F.lit(0x5555555555555555))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("p0"), F.max("node").alias("p1"), F.min_by("node", other).alias("p2"), F.max_by("node", other).alias("p3")).where("n > 1")
@@ -91,7 +128,7 @@ def near_copies(texts: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     few, many = rows.where(F.col("n") <= most_nodes).select("key", "node"), rows.where(F.col("n") > most_nodes)
     near = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     star = many.select(F.col("node").alias("a"), F.explode(F.array("p0", "p1", "p2", "p3")).alias("b"))
-    links = _confirmed(near.unionByName(star), nodes, texts)
+    links = _confirmed(_by_fingerprint(nodes).unionByName(near).unionByName(star), nodes, texts)
     groups = components(links)
     placed = many.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
     most = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")

@@ -27,9 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows that Python workers get at once: whole texts, so that few of them are in memory.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ARROW_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: later uses neither recompute it nor need its lineage."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
@@ -44,6 +56,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of a row's doc_id and text; rows that share one by chance (a pair is likely from some 5 * 10**9 rows on) count as one."""
+    return F.xxhash64("doc_id", "text")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -53,7 +70,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Returns (node, component), component the smallest node reachable, for each node that has a link to
     another one. Each round is a written table, so lineage stays short, and neither links nor labels reach
-    the driver. Nodes with many neighbours are no burden: each step aggregates min() before it joins.
+    the driver. The least neighbour of each node is a table of its own: so both sides of its join are shuffled for it, and
+    Spark can split a node with very many links over several tasks.
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     # The links' number and a sum of their hashes tell whether a round changed anything.
@@ -61,7 +79,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = signature(edges)
     for _ in range(most_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import as_bytes
-from .shared import components, fresh, stage
+from .shared import components, fresh, row_key, stage
 
 SEED, DISTANCE = 42, 3
 #: Pairs of one key that are formed one by one; a key with more goes the other way.
@@ -42,11 +42,16 @@ def fingerprint(text: bytes, words_each: int = 3) -> int:
         return 0
     digest, n = xxhash.xxh64_intdigest, max(1, len(words) - words_each + 1)
     h = np.fromiter((digest(b" ".join(s), SEED) for s in zip(*(words[k:] for k in range(words_each)), strict=False)) if len(words) >= words_each else iter([digest(b" ".join(words), SEED)]), np.uint64, n)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    for a in range(0, n, STEP):
+    for a in range(0, len(h), STEP):
         part = h[a : a + STEP]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words_each: int = 3) -> DataFrame:
@@ -92,9 +97,9 @@ def link_fingerprints(nodes: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFra
     """Links (a, b) of distinct fingerprints (print: long) that leave them in the same components as all pairs within 3 bits."""
     keys = [k for start in range(4) for k in _chain_keys(F.col("print"), start)]
     rows = nodes.select("print", F.explode(F.concat(*keys)).alias("x")).select("print", "x.key", "x.flipped")
-    w = Window.partitionBy("key")
-    own = F.sum(F.when(F.col("flipped"), 0).otherwise(1)).over(w)
-    rows = stage(rows.withColumn("own", own).withColumn("all", F.count("*").over(w)).where("own > 0 and all > 1"), "simhash-keys")
+    of_key = rows.groupBy("key").agg(F.sum(F.when(F.col("flipped"), 0).otherwise(1)).alias("own"), F.count("*").alias("all")).where("own > 0 and all > 1")
+    # A table of its own: both sides of the join are shuffled for it, and Spark can split a key with many rows.
+    rows = stage(rows.join(stage(of_key, "simhash-shared"), "key"), "simhash-keys")
     cold = rows.where(F.col("own") * F.col("all") <= most_pairs)
     a, b = cold.select("key", F.col("print").alias("a"), "flipped"), cold.where(~F.col("flipped")).select("key", F.col("print").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -129,7 +134,7 @@ def one_of_each(docs: DataFrame, words_each: int = 3) -> DataFrame:
 def first_of_each(docs: DataFrame, group: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs with the smallest doc_id of each group, nulls last; ``group`` gives k and root for rows of k and text."""
     key, other, nth = fresh(docs, "simhash_key"), fresh(docs, "simhash_other"), fresh(docs, "simhash_nth")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn(key, row_key(docs))
     found = group(keyed.select(F.col(key).alias("k"), "text")).distinct()
     ids = keyed.select(F.col(key).alias("k"), "doc_id").distinct()
     first = found.join(ids, "k").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("kept"))

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import ALNUM, Words, as_bytes, chunks, grams
-from .shared import fresh, stage
+from .bytewords import ALNUM, Words, as_bytes, chunks, grams, mix64
+from .shared import fresh, row_key, stage
 
 WINDOW, GRAM = 13, 5
 #: Bits of the bitmap of the items' fingerprints: 4 MB, whatever the number of items.
@@ -73,7 +73,7 @@ def _prints(batches, lengths: list[int], bitmap: np.ndarray | None):
                             found.append((WINDOW, p, g[p]))
                 for n in lengths:
                     g = grams(h, n)
-                    p = np.flatnonzero(_in(bitmap, g ^ np.uint64(n)) & (of[: len(g)] == of[n - 1 :])) if len(g) else np.zeros(0, np.int64)
+                    p = np.flatnonzero(_in(bitmap, mix64(g + np.uint64(n))) & (of[: len(g)] == of[n - 1 :])) if len(g) else np.zeros(0, np.int64)
                     found.append((n, p, g[p]))
             else:
                 for k in range(b - a):
@@ -134,7 +134,7 @@ def _covered(spans):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", one_in: int = 20) -> DataFrame:
-    """A row for each document: doc_id, row (inner number), n_words, n_hit, n_items, items (sorted ids), contaminated."""
+    """A row for each document: doc_id, row (inner number), n_words, n_hit, n_items, items (sorted ids), longest (words of the longest match with one item), contaminated."""
     spark = docs.sparkSession
     items = stage(items.select(F.monotonically_increasing_id().alias("item"), F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.col(item_text).alias("text")), "items")
     names = items.select("item", "item_id")
@@ -148,7 +148,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         bits = np.zeros(BITMAP_BITS // 8, np.uint8)
         for batch in batches:
             n, x = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().view(np.uint64)
-            at = _slot(np.where(n == WINDOW, x, x ^ n))
+            at = _slot(np.where(n == WINDOW, x, mix64(x + n)))
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
@@ -162,16 +162,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     pairs = got.where("length > 0").join(theirs, ["length", "print"]).join(names, "item").select("row", "item", "item_id", "length", "at", "before", "after", "b", "a")
     spans = pairs.mapInArrow(_extended, "row long, item long, item_id string, lo int, hi int").distinct()
     hits = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    hits = hits.select("row", _covered(F.col("spans")).cast("long").alias("n_hit"), "items")
+    longest = F.array_max(F.transform("spans", lambda x: x["hi"] - x["lo"]))
+    hits = hits.select("row", _covered(F.col("spans")).cast("long").alias("n_hit"), "items", longest.alias("longest"))
     out = got.where("length = 0").select("row", F.col("id").alias("doc_id"), "n_words").join(hits, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     none = F.expr("cast(array() as array<string>)")
-    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items").cast("long"), F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", none).alias("items"), ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"))
+    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items").cast("long"), F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", none).alias("items"), F.coalesce("longest", F.lit(0)).alias("longest"), ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id and text among the columns) that aren't contaminated."""
+    """The rows of docs (doc_id and text among the columns) that share no window of 13 words with an item and aren't contaminated.
+
+    A whole window lets a document go however long it is; the few words of a shorter item do so only if they are 5 % of it.
+    """
     key, other = fresh(docs, "winnow_key"), fresh(docs, "winnow_other")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = decontaminate(keyed, items, doc_id=key).where("contaminated").select(F.col("doc_id").alias(other)).distinct()
+    keyed = docs.withColumn(key, row_key(docs))
+    numbered = keyed.select(F.col(key).alias("id"), "text")
+    found = decontaminate(numbered, items, doc_id="id").where((F.col("longest") >= WINDOW) | F.col("contaminated")).select(F.col("doc_id").alias(other)).distinct()
     return keyed.join(stage(found, "contaminated"), F.col(key) == F.col(other), "left_anti").select(*docs.columns)

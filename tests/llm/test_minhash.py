@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tessera.llm import minhash
 
@@ -51,3 +53,15 @@ def test_large_keys_lose_nothing(spark):
     want = _brute(texts)
     roots = {r["k"]: r["root"] for r in minhash.near_copies(docs, most_nodes=1).collect()}
     assert len({(roots[k], want[k]) for k in roots}) == len(set(want)) == len(set(roots.values()))
+
+
+def test_alike_texts_share_a_key():
+    rng = np.random.default_rng(5)
+    met, far = 0, 0
+    for _ in range(3000):
+        h = rng.integers(0, 1 << 63, 180).astype(np.uint64)
+        a, b = h[:162], np.concatenate([h[:144], h[162:]])  # 144 of 180 shingles: 0.8
+        met += bool((minhash.keys_of(a) == minhash.keys_of(b)).any())
+        c = np.concatenate([h[:81], rng.integers(0, 1 << 63, 41).astype(np.uint64)])  # 81 of 203: 0.4
+        far += bool((minhash.keys_of(a) == minhash.keys_of(c)).any())
+    assert met >= 2999 and far <= 300
