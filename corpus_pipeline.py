@@ -2,7 +2,7 @@
 
 1. toxicity: documents that score 0.5 or more by a model of the labels (those not held out) go.
 2. near-dedup: of each group of documents that pairs connect whose five-word shingles are 0.8 or more alike (Jaccard), one stays.
-3. decontamination: documents with 5 % or more of their words in 13-word spans of benchmark items go.
+3. decontamination: documents that share 13 words in a row with a benchmark item go, and those with 5 % or more of their words in shorter items.
 4. mixing: sources are taken near their target shares; a document comes as often as the mix takes it.
 5. token blocks: what is left is encoded, written and read back; a row for each document with its place, length and checksum.
 
