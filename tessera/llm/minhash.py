@@ -4,7 +4,7 @@ Candidates meet in two ways. First by SimHash: fingerprints of the shingles that
 at 0.8 two texts differ in 4 to 14 of 64 bits (sf0.1), and within 14 bits all documents have chance neighbours, more of them the
 more documents there are. So those farther apart meet by min-hashes: of 128 orders of all shingles a text's first in
 each; 96 keys are made of eight of these firsts each, chosen once at random. Two texts of similarity s share a key with a
-probability of s**8: at 0.8 one in six, so one of 96 but for less than one pair in 10,000 (the test counts it), at 0.5 one in
+probability of s**8: at 0.8 one in six, so one of 96 but for less than one pair in 1,000 (the test counts it), at 0.5 one in
 256, so texts that only have a passage in common seldom meet. Every candidate is then compared shingle by shingle (64-bit hashes).
 
 Texts of the same words are one node. A key with up to 32 nodes gives all pairs; one with more compares its nodes with four of
