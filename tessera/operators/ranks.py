@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the shared folder (spark.checkpoint.dir; one of our own only where that is unset)."""
+    """df as a reliable checkpoint in the shared folder (spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 
