@@ -45,7 +45,7 @@ def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_blocks", token_blocks)]
-#: Stages that draw hashes and train models aren't SQL; tests/llm holds run() against a plain version.
+#: Stages that draw hashes and train models are not SQL. tests/llm checks each operator by brute force; of the chain it checks that every stage keeps a part of what it got.
 ORACLE_SQL = None
 
 

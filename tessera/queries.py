@@ -444,9 +444,9 @@ def a10(t):
     return C.format_errors(C.to_messages(blanked))
 
 
-@query("a11_duplicates", "SELECT count(*) AS n, count(*) - count(DISTINCT coalesce(u, '')) AS duplicates FROM (SELECT conv_id, arg_min(substr(text, 1, 2), turn) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)")
+@query("a11_duplicates", "SELECT count(*) AS n, count(*) - count(DISTINCT coalesce(u, '')) AS duplicates FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)")
 def a11(t):
-    first = t.conversations.groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.substring("text", 1, 2)), F.when(F.col("role") == "user", F.col("turn"))).alias("u"))
+    first = t.conversations.groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("u"))
     return A.duplicates(first, F.col("u"))
 
 
