@@ -695,28 +695,28 @@ def _marked(t: Tables) -> DataFrame:
     return t.events.select(F.col("event_id").alias("position"), F.lit("SYSTEM: help").alias("system"), chat.alias("chat"))
 
 
-@query("c1_marked_tool_calls", """SELECT event_id AS position, 1 AS turn, [{'role': 'system', 'content': 'help'}, {'role': 'user', 'content': 'ask ' || event_id}, {'role': 'assistant', 'content': props}] AS messages FROM events ORDER BY event_id LIMIT 300""", flat=("messages", "role", "content"))
+@query("c1_marked_tool_calls", """SELECT event_id AS position, 1 AS turn, [{'role': 'system', 'content': 'help'}, {'role': 'user', 'content': 'ask ' || event_id}, {'role': 'assistant', 'content': props}] AS messages FROM events""", flat=("messages", "role", "content"))
 def c1(t):
     clean = _marked(t).withColumn("chat", F.replace("chat", F.lit("FUNCTION RESPONSE: ok"), F.lit("")))
-    return C.convert_marked(clean, 300)
+    return C.convert_marked(clean)
 
 
-@query("c2_tool_calls", """SELECT event_id AS position, 1 AS turn, [{'role': 'user', 'content': 'ask'}, {'role': 'assistant', 'content': '{"k": ' || json_extract(props, '$.k') || '}'}] AS messages FROM events WHERE event_id % 2 = 0 ORDER BY event_id LIMIT 200""", flat=("messages", "role", "content"))
+@query("c2_tool_calls", """SELECT event_id AS position, 1 AS turn, [{'role': 'user', 'content': 'ask'}, {'role': 'assistant', 'content': '{"k": ' || json_extract(props, '$.k') || '}'}] AS messages FROM events WHERE event_id % 2 = 0""", flat=("messages", "role", "content"))
 def c2(t):
     call = F.concat(F.lit("<tool_call>"), "props", F.lit("</tool_call>"))
     conv = X.sharegpt(("human", F.lit("ask")), ("gpt", F.when(F.col("event_id") % 2 == 0, call).otherwise(F.concat(call, call))))
-    return C.convert_tool_calls(t.events.select(F.col("event_id").alias("position"), conv.alias("conversations")), 200)
+    return C.convert_tool_calls(t.events.select(F.col("event_id").alias("position"), conv.alias("conversations")))
 
 
-@query("c3_paragraph_sft", """SELECT [{'from': 'system', 'value': 'help'}, {'from': 'human', 'value': 'ask ' || event_id}, {'from': 'gpt', 'value': '<functioncall> ' || props}, {'from': 'observation', 'value': 'ok'}, {'from': 'gpt', 'value': 'plain words'}] AS conversations FROM events ORDER BY md5('42:' || event_id) LIMIT 100""", flat=("conversations", "from", "value"))
+@query("c3_paragraph_sft", """SELECT [{'from': 'system', 'value': 'help'}, {'from': 'human', 'value': 'ask ' || event_id}, {'from': 'gpt', 'value': '<functioncall> ' || props}, {'from': 'observation', 'value': 'ok'}, {'from': 'gpt', 'value': 'plain words'}] AS conversations FROM events""", flat=("conversations", "from", "value"))
 def c3(t):
-    return C.paragraph_conversations(_marked(t), 100)
+    return C.paragraph_conversations(_marked(t))
 
 
-@query("c4_tool_sft", """SELECT [{'from': 'human', 'value': 'ask'}, {'from': 'gpt', 'value': props}] AS conversations FROM events WHERE event_id % 2 = 0 ORDER BY md5('42:' || event_id) LIMIT 100""", flat=("conversations", "from", "value"))
+@query("c4_tool_sft", """SELECT [{'from': 'human', 'value': 'ask'}, {'from': 'gpt', 'value': props}] AS conversations FROM events WHERE event_id % 2 = 0""", flat=("conversations", "from", "value"))
 def c4(t):
     conv = F.when(F.col("event_id") % 2 == 0, X.sharegpt(("human", F.lit("ask")), ("gpt", F.col("props")))).otherwise(X.sharegpt(("human", F.lit("ask"))))
-    return C.tool_conversations(t.events.select(F.col("event_id").alias("position"), conv.alias("conversations")), 100)
+    return C.tool_conversations(t.events.select(F.col("event_id").alias("position"), conv.alias("conversations")))
 
 
 def _schemas(t: Tables) -> DataFrame:
@@ -732,9 +732,9 @@ def c5(t):
     return P.schema_prompts(_schemas(t), "be brief", "Schema: {schema}")
 
 
-@query("c6_minimal_answers", f"""SELECT [{{'from': 'system', 'value': 'be brief'}}, {{'from': 'human', 'value': {_SCHEMA_SQL}}}, {{'from': 'gpt', 'value': '{{"k": ' || json_extract(props, '$.k') || '}}'}}] AS conversations, event_id AS unique_id FROM events WHERE event_id % 5 <> 0 ORDER BY event_id LIMIT 250""", flat=("conversations", "from", "value"))
+@query("c6_minimal_answers", f"""SELECT [{{'from': 'system', 'value': 'be brief'}}, {{'from': 'human', 'value': {_SCHEMA_SQL}}}, {{'from': 'gpt', 'value': '{{"k": ' || json_extract(props, '$.k') || '}}'}}] AS conversations, event_id AS unique_id FROM events WHERE event_id % 5 <> 0""", flat=("conversations", "from", "value"))
 def c6(t):
-    return P.minimal_answers(_schemas(t), "be brief", 250)
+    return P.minimal_answers(_schemas(t), "be brief", None)
 
 
 @query("c7_schema_pairs")

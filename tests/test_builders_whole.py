@@ -2,8 +2,12 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import queries as Q
+from tessera.functions import text as X
+from tessera.operators import chat as C
+from tessera.plans import pipelines as P
 
 N = 700
 
@@ -57,3 +61,19 @@ def test_inference_has_all(spark, events):
     rows = Q.QUERIES["c13_inference"](spark, events).collect()
     parsed = {int(r["stem"]): r["pred_json"] != "" for r in rows}
     assert len(rows) == N and parsed == {i: not _spoilt(i, 0) for i in PROMPTS}
+
+
+def test_limits_of_the_builders(spark, events):
+    t = Q.Tables(spark, events)
+    assert [r["position"] for r in C.convert_marked(Q._marked(t), 3).collect()] == [0, 1, 2]
+    assert [r["position"] for r in C.convert_tool_calls(_calls(t), 3).collect()] == [0, 1, 2]
+    seeded = sorted(range(N), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())[:3]
+    got = C.paragraph_conversations(Q._marked(t), 3).collect()
+    assert sorted(r["conversations"][1]["value"] for r in got) == sorted(f"ask {i}" for i in seeded)
+    assert C.tool_conversations(_calls(t), 3).count() == 3
+    assert [r["unique_id"] for r in P.minimal_answers(Q._schemas(t), "be brief", 3).collect()] == [1, 2, 3]
+
+
+def _calls(t):
+    conv = X.sharegpt(("human", F.lit("ask")), ("gpt", F.concat(F.lit("<tool_call>"), "props", F.lit("</tool_call>"))))
+    return t.events.select(F.col("event_id").alias("position"), conv.alias("conversations"))
