@@ -57,11 +57,15 @@ def test_large_keys_lose_nothing(spark):
 
 def test_alike_texts_share_a_key():
     rng = np.random.default_rng(5)
-    met, far = 0, 0
+    met, far, met_again, far_again = 0, 0, 0, 0
     for _ in range(3000):
         h = rng.integers(0, 1 << 63, 180).astype(np.uint64)
         a, b = h[:162], np.concatenate([h[:144], h[162:]])  # 144 of 180 shingles: 0.8
         met += bool((minhash.keys_of(a) == minhash.keys_of(b)).any())
         c = np.concatenate([h[:81], rng.integers(0, 1 << 63, 41).astype(np.uint64)])  # 81 of 203: 0.4
         far += bool((minhash.keys_of(a) == minhash.keys_of(c)).any())
+        long = minhash.keys_of(a, minhash.LONG)
+        met_again += bool((long == minhash.keys_of(b, minhash.LONG)).any())
+        far_again += bool((long == minhash.keys_of(c, minhash.LONG)).any())
     assert met >= 2999 and far <= 300
+    assert met_again >= 2997 and far_again <= 30
