@@ -78,12 +78,15 @@ def merged(old: DataFrame, *new: DataFrame, merge: bool = True) -> DataFrame:
     return out
 
 
-def format_errors(df: DataFrame, key: str = "conv_id", needed: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
-    """(key, error): messages that aren't there, roles that lack, contents that are blank."""
-    m = F.col("messages")
+def errors_of(m: Column, needed: tuple[str, ...] = ("user", "assistant")) -> Column:
+    """What is wrong with messages: that they aren't there, roles that lack, contents that are blank."""
     checks = [F.when(m.isNull(), F.lit("messages: not a list"))]
     for r in needed:
         checks.append(F.when(~has_roles(m, r, field="role"), F.lit(f"no {r} message")))
     blank = F.filter(F.transform(m, lambda x, i: F.when(F.coalesce(F.trim(x["content"]), F.lit("")) == "", F.concat(F.lit("blank content at "), i.cast("string")))), lambda e: e.isNotNull())
-    errors = F.concat(F.filter(F.array(*checks), lambda e: e.isNotNull()), F.coalesce(blank, F.array().cast("array<string>")))
-    return df.select(key, F.explode(errors).alias("error"))
+    return F.concat(F.filter(F.array(*checks), lambda e: e.isNotNull()), F.coalesce(blank, F.array().cast("array<string>")))
+
+
+def format_errors(df: DataFrame, key: str = "conv_id", needed: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
+    """(key, error) of the column messages."""
+    return df.select(key, F.explode(errors_of(F.col("messages"), needed)).alias("error"))

@@ -32,9 +32,11 @@ def length_stats(df: DataFrame, length: Column, cutoffs: tuple[int, ...] = CUTOF
 
 def recommended_cutoffs(df: DataFrame, length: Column, cutoff: int = 8192) -> DataFrame:
     """How many fit the cutoff and how many don't, and the cutoffs that would keep 90, 95 and 99 %; lengths that fail count 0."""
-    x = F.coalesce(length, F.lit(0))
-    df = df.select(x.alias("x"))
-    return df.agg(F.count_if(F.col("x") <= cutoff).alias("fits"), F.count_if(F.col("x") > cutoff).alias("exceeds"), *[F.floor(F.percentile("x", F.lit(q / 100))).cast("bigint").alias(f"cutoff_p{q}") for q in (90, 95, 99)])
+    return df.select(F.coalesce(length, F.lit(0)).alias("x")).agg(*cutoff_counts(F.col("x"), cutoff))
+
+
+def cutoff_counts(x: Column, cutoff: int) -> list[Column]:
+    return [F.count_if(x <= cutoff).alias("fits"), F.count_if(x > cutoff).alias("exceeds"), *[F.floor(F.percentile(x, F.lit(q / 100))).cast("bigint").alias(f"cutoff_p{q}") for q in (90, 95, 99)]]
 
 
 def short_enough(df: DataFrame, text: str, most: int, count=approx_tokens) -> DataFrame:
@@ -43,7 +45,12 @@ def short_enough(df: DataFrame, text: str, most: int, count=approx_tokens) -> Da
 
 
 def duplicates(df: DataFrame, first_user: Column) -> DataFrame:
-    return df.agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct(F.coalesce(first_user, F.lit("")))).alias("duplicates"))
+    return df.agg(F.count("*").alias("n"), repeats(first_user))
+
+
+def repeats(text: Column) -> Column:
+    """How many texts came before; nulls count as empty."""
+    return (F.count("*") - F.count_distinct(F.coalesce(text, F.lit("")))).alias("duplicates")
 
 
 def outcomes(df: DataFrame, status: str = "status") -> DataFrame:

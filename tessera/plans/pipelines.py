@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens, by_language, chat, file_id, fill_table, sharegpt, strip_think, user_prompt, with_markdown
-from ..functions.udfs import check_output, extract_json, json_and_schema, json_minimal, json_pretty, prompt_schema, schema_validate, trivial_reason
+from ..functions.udfs import check_output, extract_json, json_and_schema, json_minimal, json_ok, json_pretty, prompt_schema, schema_validate, trivial_reason
+from ..operators.chat import errors_of
 from ..operators.relational import first_k, having, lacking, left_or_empty, limited, of_split, shard, split_by_hash
-from ..operators.stats import evaluated, short_enough, summary
+from ..operators.stats import cutoff_counts, evaluated, repeats, short_enough, summary
 from .provider import Provider, generate
 
 Make = Callable[[], Provider]
@@ -135,6 +136,16 @@ def pruned(wide: DataFrame, most_tokens: int = 8192, count=approx_tokens) -> tup
     return wide.where(n <= most_tokens), wide.where(n > most_tokens)
 
 
+def dataset_checks(rows: DataFrame, cutoff: int = 8192, count=approx_tokens) -> DataFrame:
+    """One row on a dataset of messages, from one pass: how many, format errors, first answers that aren't JSON, repeated first user messages, and cutoffs by length."""
+    m = F.col("messages")
+    first = lambda r: F.get(F.filter(m, lambda x: x["role"] == r), F.lit(0))
+    whole = F.array_join(F.transform(m, lambda x: F.coalesce(x["content"], F.lit(""))), "\n")
+    each = rows.select(F.size(errors_of(m)).alias("errors"), first("assistant").alias("answer"), first("user")["content"].alias("asked"), F.coalesce(count(whole), F.lit(0)).alias("tokens"))
+    each = each.withColumn("unparsed", F.col("answer").isNotNull() & ~json_ok(F.col("answer")["content"]))
+    return each.agg(F.count("*").alias("n"), F.coalesce(F.sum("errors"), F.lit(0)).alias("format_errors"), F.count_if("unparsed").alias("json_errors"), repeats(F.col("asked")), *cutoff_counts(F.col("tokens"), cutoff))
+
+
 def trainer_view(df: DataFrame, length, max_samples: int | None, cutoff_len: int, val_size: float, key: str) -> DataFrame:
     """What a trainer takes of a dataset: its first rows, whether each is cut, and in which part it is."""
     rows = limited(df, max_samples, key).withColumn("cut", length > cutoff_len)

@@ -69,7 +69,9 @@ big = lambda c: c.cast("bigint")
 
 @query("s10_parquet_scan", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def s10(t):
-    return t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
+    from .sources.readers import parquet
+
+    return parquet(t.spark, f"{t.dir}/orders.parquet", ["o_orderkey", "o_orderstatus"]).where("o_orderstatus = 'F'")
 
 
 @query("s12_peek", "SELECT substr(CAST(r_regionkey AS VARCHAR), 1, 300) AS r_regionkey, substr(r_name, 1, 300) AS r_name FROM region ORDER BY region.r_regionkey LIMIT 3")
@@ -84,14 +86,11 @@ def s15(t):
     return t.pages.select(F.explode(F.regexp_extract_all("html", F.lit("href=[\"']([^\"']*)[\"']"), 1)).alias("link")).distinct()
 
 
-@query("s15_detail_links", r"""SELECT DISTINCT CASE WHEN starts_with(l, '/') THEN 'https://example.org' || l ELSE l END AS link
-FROM (SELECT unnest(regexp_extract_all(replace(html, '<li><a href="/', '<li><a href="/data/'), 'href=["'']([^"'']*)["'']', 1)) AS l FROM pages)
-WHERE contains(l, '/data/') AND ends_with(l, 'th')""")
+@query("s15_detail_links", r"""SELECT DISTINCT page_id, 'https://example.org/data' || l || '/fileData.do' AS link
+FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"'']*)"', 1)) AS l FROM pages)""")
 def s15b(t):
-    html = F.replace("html", F.lit('<li><a href="/'), F.lit('<li><a href="/data/'))
-    links = F.regexp_extract_all(html, F.lit("href=[\"']([^\"']*)[\"']"), 1)
-    rows = t.pages.select(F.explode(links).alias("l")).where(F.col("l").contains("/data/") & F.col("l").endswith("th"))
-    return rows.select(F.when(F.col("l").startswith("/"), F.concat(F.lit("https://example.org"), "l")).otherwise(F.col("l")).alias("link")).distinct()
+    html = F.regexp_replace("html", "href=\"(/[^\"']*)\"", 'href="/data$1/fileData.do"')
+    return t.pages.select("page_id", F.explode(X.detail_links(html, "https://example.org")).alias("link"))
 
 
 # -- projections -----------------------------------------------------------------------------------------------------
@@ -224,9 +223,11 @@ def p23(t):
     return t.labels.select("doc_id", X.status_label(F.col("toxic") == 1, F.col("quality") == 1).alias("status"))
 
 
-@query("p24_templates", "SELECT item_id, 'Schema:' || chr(10) || text || chr(10) || 'Answer.' AS prompt FROM benchmark")
+@query("p24_templates", """SELECT [{'role': 'system', 'content': 'be brief'}, {'role': 'user', 'content': 'Schema:' || chr(10) || s || chr(10) || 'Answer.'}] AS prompt, s AS schema_str, item_id AS unique_id
+FROM (SELECT item_id, '{"title":"' || item_id || '"}' AS s FROM benchmark)""", flat=("prompt", "role", "content"))
 def p24(t):
-    return t.benchmark.select("item_id", F.concat(F.lit("Schema:\n"), "text", F.lit("\nAnswer.")).alias("prompt"))
+    schemas = t.benchmark.select(F.concat(F.lit('{"title":"'), "item_id", F.lit('"}')).alias("json_schema"), F.col("item_id").alias("unique_id"))
+    return P.schema_prompts(schemas, "be brief", "Schema:\n{schema}\nAnswer.")
 
 
 @query("k7_display_cut", "SELECT doc_id, CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '…' ELSE text END AS cell FROM documents")
@@ -317,7 +318,7 @@ def j13(t):
     return t.orders.select("o_orderkey", F.explode(U.json_leaves(doc)).alias("path", "value"))
 
 
-@query("j13_leaf_rows_udtf")
+@query("j13_leaf_rows_udtf", "SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")
 def j13b(t):
     U.register_all(t.spark)
     t.events.createOrReplaceTempView("leaf_events")
@@ -737,9 +738,26 @@ def c6(t):
     return P.minimal_answers(_schemas(t), "be brief", None)
 
 
-@query("c7_schema_pairs")
+def _asked_sql(prompt: str) -> str:
+    """Events with schema s, its minimal answer a, prompt p, and r: the stub spoils sample i (takes the last character from its answer) where r + i is a multiple of 3."""
+    rows = f"""SELECT event_id, props, CASE WHEN event_id % 5 = 0 THEN '{{"type":"object"}}' ELSE {_SCHEMA_SQL} END AS s, CASE WHEN event_id % 5 = 0 THEN '{{}}' ELSE '{{"k": ' || json_extract(props, '$.k') || '}}' END AS a FROM events"""
+    return f"(SELECT *, CAST(md5_number(p) % 3 AS INTEGER) AS r FROM (SELECT *, {prompt} AS p FROM ({rows})))"
+
+
+_FENCED = "'```json' || chr(10) || {} || chr(10) || '```'"
+_SPOILT = _FENCED.format("left(a, length(a) - 1)")
+_PROMPT = "'Take it out.' || chr(10, 10) || '=== Report ===' || chr(10) || 'r' || chr(10, 10) || '=== JSON Schema ===' || chr(10) || s".replace("chr(10, 10)", "chr(10) || chr(10)")
+
+
+def _flat_turns(df: DataFrame) -> DataFrame:
+    """chosen and rejected as strings, which all engines compare alike."""
+    return df.withColumns({c: F.concat(F.col(c)["from"], F.lit("="), F.col(c)["value"]) for c in ("chosen", "rejected")})
+
+
+@query("c7_schema_pairs", f"""SELECT [{{'from': 'human', 'value': p}}] AS conversations, 'gpt=' || {_FENCED.format('a')} AS chosen, 'gpt=' || {_SPOILT} AS rejected, event_id AS _unique_id
+FROM {_asked_sql("'=== JSON Schema ===' || chr(10) || s")} WHERE event_id % 5 <> 0""", flat=("conversations", "from", "value"))
 def c7(t):
-    return P.schema_pairs(_schemas(t), StubProvider, most=None)
+    return _flat_turns(P.schema_pairs(_schemas(t), StubProvider, most=None))
 
 
 def _prompts(t: Tables) -> DataFrame:
@@ -747,7 +765,8 @@ def _prompts(t: Tables) -> DataFrame:
     return s.select(F.col("unique_id").cast("string").alias("stem"), F.concat(F.lit("Take it out.\n\n=== Report ===\nr\n\n=== JSON Schema ===\n"), "json_schema").alias("user_prompt"))
 
 
-@query("c8_rejection_sampling")
+@query("c8_rejection_sampling", f"""SELECT [{{'from': 'human', 'value': p}}, {{'from': 'gpt', 'value': '=== JSON ===' || chr(10) || a || chr(10) || '=== JSON_SCHEMA ===' || chr(10) || s}}] AS conversations, CAST(event_id AS VARCHAR) AS _stem
+FROM {_asked_sql(_PROMPT)}, range(4) AS samples(i) WHERE (r + i) % 3 <> 0""", flat=("conversations", "from", "value"))
 def c8(t):
     return P.rejection_sampled(_prompts(t), lambda: StubProvider(sections=True))
 
@@ -758,23 +777,31 @@ def _gold(t: Tables) -> tuple[DataFrame, DataFrame]:
     return gold, s.select(F.col("unique_id").cast("string").alias("stem"), "json_schema")
 
 
-@query("c9_preference_pairs")
+@query("c9_preference_pairs", f"""SELECT [{{'from': 'human', 'value': p}}] AS conversations, 'gpt={{' || chr(10) || '  "k": ' || json_extract(props, '$.k') || chr(10) || '}}' AS chosen, 'gpt=' || {_SPOILT} AS rejected, CAST(event_id AS VARCHAR) AS _stem
+FROM {_asked_sql(_PROMPT)}, range(8) AS samples(i) WHERE event_id % 3 <> 0 AND (r + i) % 3 = 0 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY i) <= 3""", flat=("conversations", "from", "value"))
 def c9(t):
-    return P.preference_pairs(_prompts(t), *_gold(t), StubProvider)[0]
+    return _flat_turns(P.preference_pairs(_prompts(t), *_gold(t), StubProvider)[0])
 
 
-@query("c9_preference_ledger")
+@query("c9_preference_ledger", "SELECT CAST(event_id AS VARCHAR) AS stem, 'accepted' AS status FROM events WHERE event_id % 3 <> 0")
 def c9b(t):
     return P.preference_pairs(_prompts(t), *_gold(t), StubProvider)[1]
 
 
-@query("c10_synthesis")
+@query("c10_synthesis", """WITH d AS (SELECT doc_id, text || chr(10) || '=== JSON Schema ===' || chr(10) || '{"type":"object","required":["a"],"properties":{"a":{"type":"string"}}}' AS text FROM documents),
+r AS (SELECT doc_id, md5_number('Report: =======INPUT MARKDOWN======' || text) % 3 = 0 AS spoilt_report, md5_number('JSON: =======INPUT MARKDOWN======' || text) % 3 = 0 AS spoilt FROM d)
+SELECT 'data_' || (doc_id + 41000) AS stem, '=== JSON ===' || chr(10) || '{"a": "a"' || CASE WHEN spoilt_report THEN '' ELSE '}' END || chr(10) || '=== JSON_SCHEMA ===' || chr(10) || '{"type":"object","required":["a"],"properties":{"a":{"type":"string"}}}' AS report,
+  CASE WHEN NOT spoilt THEN concat_ws(chr(10), '{', '  "a": "a"', '}') END AS json,
+  CASE WHEN NOT spoilt THEN concat_ws(chr(10), '{', '  "type": "object",', '  "required": [', '    "a"', '  ],', '  "properties": {', '    "a": {', '      "type": "string"', '    }', '  }', '}') END AS json_schema,
+  CASE WHEN spoilt THEN 'no_sections' ELSE 'ok' END AS status FROM r""")
 def c10(t):
     rows = t.documents.select(F.format_string("data_%d", F.col("doc_id") + 41_000).alias("stem"), F.concat("text", F.lit('\n=== JSON Schema ===\n{"type":"object","required":["a"],"properties":{"a":{"type":"string"}}}')).alias("text"))
     return P.synthesis(rows, "Report: ", "JSON: ", lambda: StubProvider(sections=True))
 
 
-@query("c11_prompt_synthesis")
+@query("c11_prompt_synthesis", """SELECT 'data_' || doc_id AS stem, '```json' || chr(10) || '{' || CASE WHEN md5_number(CASE WHEN doc_id >= 20000 THEN 'Ask: ' ELSE '질문: ' END || text) % 3 = 0 THEN '' ELSE '}' END || chr(10) || '```' || chr(10) || chr(10)
+  || '=== Report ===' || chr(10) || text || chr(10) || chr(10) || '=== JSON Schema ===' || chr(10) || concat_ws(chr(10), '{', '  "type": "object"', '}') AS user_prompt
+FROM documents JOIN labels USING (doc_id) WHERE doc_id > 0""")
 def c11(t):
     reports = t.documents.select(F.format_string("data_%d", F.col("doc_id")).alias("stem"), F.col("text").alias("report"))
     schemas = t.labels.select(F.format_string("data_%d", F.col("doc_id")).alias("stem"), F.lit('{"type":"object"}').alias("json_schema"))
@@ -787,7 +814,8 @@ def c12(t):
     return P.training_split(d.select("stem", F.col("source").alias("user_prompt")), t.labels.select(F.col("doc_id").alias("stem")), d.select("stem", F.col("lang").alias("gold_json")), "sys")
 
 
-@query("c13_inference")
+@query("c13_inference", f"""SELECT CAST(event_id AS VARCHAR) AS stem, p AS user_prompt, CASE WHEN event_id % 3 <> 0 THEN props ELSE '' END AS gold_json, s AS json_schema,
+  '<think>0</think>' || chr(10) || CASE WHEN r = 0 THEN {_SPOILT} ELSE {_FENCED.format('a')} END AS raw_output, CASE WHEN r = 0 THEN '' ELSE a END AS pred_json FROM {_asked_sql(_PROMPT)}""")
 def c13(t):
     gold, schemas = _gold(t)
     return P.inference(_prompts(t), gold, schemas, StubProvider)
@@ -800,14 +828,27 @@ def c15(t):
     return kept.select("id", F.lit(True).alias("kept")).union(long.select("id", F.lit(False).alias("kept")))
 
 
-@query("c16_dataset_checks", """SELECT count(*) AS n, count(*) FILTER (u = 0) AS no_user, count(*) FILTER (a = 0) AS no_assistant FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)""")
+_QA_SQL = """WITH c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS whole, arg_min(text, turn) FILTER (role = 'user') AS first_user, count(*) FILTER (role = 'user') AS users,
+  count(*) FILTER (role = 'assistant') AS assistants, count(*) FILTER (trim(text) = '') AS blanks FROM (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN ' ' WHEN role = 'assistant' AND turn % 2 = 1 THEN '{"turn": ' || turn || '}' ELSE text END AS text FROM conversations) GROUP BY conv_id),
+a AS (SELECT conv_id, arg_min(turn, turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+n AS (SELECT *, len(regexp_extract_all(whole, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) AS tokens FROM c)
+SELECT count(*) AS n, CAST(sum((users = 0)::INT + (assistants = 0)::INT + blanks) AS BIGINT) AS format_errors, count(a.turn) FILTER (a.turn % 3 = 2 OR a.turn % 2 = 0) AS json_errors,
+  count(*) - count(DISTINCT coalesce(first_user, '')) AS duplicates, count(*) FILTER (tokens <= 500) AS fits, count(*) FILTER (tokens > 500) AS exceeds,
+  CAST(floor(quantile_cont(tokens, 0.9)) AS BIGINT) AS cutoff_p90, CAST(floor(quantile_cont(tokens, 0.95)) AS BIGINT) AS cutoff_p95, CAST(floor(quantile_cont(tokens, 0.99)) AS BIGINT) AS cutoff_p99
+FROM n LEFT JOIN a USING (conv_id)"""
+
+
+@query("c16_dataset_checks", _QA_SQL)
 def c16(t):
-    m = C.to_messages(t.conversations)
-    has = lambda r: C.has_roles(F.col("messages"), r, field="role")
-    return m.agg(F.count("*").alias("n"), F.count_if(~has("user")).alias("no_user"), F.count_if(~has("assistant")).alias("no_assistant"))
+    answer = (F.col("role") == "assistant") & (F.col("turn") % 2 == 1)
+    text = F.when(F.col("turn") % 3 == 2, " ").when(answer, F.format_string('{"turn": %d}', "turn")).otherwise(F.col("text"))
+    return P.dataset_checks(C.to_messages(t.conversations.withColumn("text", text)), cutoff=500)
 
 
-@query("p16_markdown")
+@query("p16_markdown", """WITH w AS (SELECT greatest(5, max(length(CAST(n_nationkey AS VARCHAR)))) AS k, greatest(6, max(length(n_name))) AS n FROM nation)
+SELECT 'book' AS file, '## Sheet: nations' || chr(10) || chr(10) || '| ' || lpad('key', (SELECT CAST(k AS INTEGER) FROM w), ' ') || ' | ' || rpad('name', (SELECT CAST(n AS INTEGER) FROM w), ' ') || ' |' || chr(10)
+  || '|' || repeat('-', (SELECT k + 1 FROM w)) || ':|:' || repeat('-', (SELECT n + 1 FROM w)) || '|' || chr(10)
+  || string_agg('| ' || lpad(CAST(n_nationkey AS VARCHAR), (SELECT CAST(k AS INTEGER) FROM w), ' ') || ' | ' || rpad(n_name, (SELECT CAST(n AS INTEGER) FROM w), ' ') || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation""")
 def p16(t):
     rows = t.nation.select(F.lit("book").alias("file"), F.lit("nations").alias("sheet"), F.lit(0).alias("sheet_idx"), F.col("n_nationkey").alias("row_idx"), F.explode(F.array(F.struct(F.lit(0).alias("col_idx"), F.lit("key").alias("col_name"), F.col("n_nationkey").cast("string").alias("value")), F.struct(F.lit(1).alias("col_idx"), F.lit("name").alias("col_name"), F.col("n_name").alias("value")))).alias("c"))
     return H.workbook_markdown(rows.select("file", "sheet", "sheet_idx", "row_idx", "c.*"))
