@@ -123,7 +123,32 @@ def schema_reward(completion: pd.Series, schema: pd.Series) -> pd.Series:
     return _each(jsonx.reward, completion, schema).astype(float)
 
 
-@F.udtf(returnType=_struct(path=T.StringType(), value=T.StringType()))
+def token_counter(path: str):
+    """A column function: how many tokens a text has by the vocabulary file given (tokenizers' JSON, or a sentencepiece model); null for null."""
+    found: dict[str, object] = {}
+
+    def load():
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = True
+        return lambda texts: [len(x.ids) for x in model.encode_batch(texts, add_special_tokens=False)]
+
+    @F.pandas_udf(T.LongType())
+    def token_count(text: pd.Series) -> pd.Series:
+        count = found.get("f") or found.setdefault("f", load())
+        counts = iter(count([t for t in text if t is not None]))
+        return pd.Series([None if t is None else next(counts) for t in text], dtype=object)
+
+    return token_count
+
+
+@F.udtf(returnType=_struct(path=T.StringType(), value=T.StringType()), useArrow=True)
 class JsonLeafRows:
     """json_leaf_rows(json): a row for each leaf."""
 
@@ -134,7 +159,7 @@ class JsonLeafRows:
                 yield path, json.dumps(x, ensure_ascii=False)
 
 
-@F.udtf(returnType=_struct(idx=T.IntegerType(), role=T.StringType(), content=T.StringType()))
+@F.udtf(returnType=_struct(idx=T.IntegerType(), role=T.StringType(), content=T.StringType()), useArrow=True)
 class ChatTurns:
     """chat_turns(chat): the turns of a flat transcript."""
 
@@ -154,12 +179,16 @@ FUNCTIONS = {
 }
 
 
-def register_all(spark: SparkSession) -> None:
-    """All functions for spark.sql, and the xlsx source."""
+def register_all(spark: SparkSession, vocabulary: str | None = None) -> None:
+    """All functions for spark.sql, and the xlsx source. token_count counts by the vocabulary file given; without one it is the approximation of approx_tokens."""
     from ..sources.xlsx import XlsxSource
 
     for name, f in FUNCTIONS.items():
         spark.udf.register(name, f)
+    if vocabulary:
+        spark.udf.register("token_count", token_counter(vocabulary))
+    else:
+        spark.sql("create or replace temporary function token_count(t string) returns bigint return cast(coalesce(regexp_count(t, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\\\s]'), 0) as bigint)")
     spark.udtf.register("json_leaf_rows", JsonLeafRows)
     spark.udtf.register("chat_turns", ChatTurns)
     spark.sql("create or replace temporary function strip_think(t string) returns string return regexp_replace(element_at(split(t, '</think>', 2), -1), '(?U)^[\\\\s\\\\x1c-\\\\x1f]+|[\\\\s\\\\x1c-\\\\x1f]+$', '')")

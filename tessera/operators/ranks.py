@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the shared folder (spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    """df as a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def with_position(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
-    """df with each row's place (from 0) in the order given, which should be total.
+    """df with each row's place (from 0) in the order given, which should be total; a column of that name is replaced.
 
     The rows are dealt by ranges and numbered in each; only one count for each partition meets in one task.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
+    at, part, total, before = (fresh(df, c) for c in ("_at", "_part", "_n", "_before"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     dealt = materialised(dealt)
-    part = F.shiftright("_at", 33)
-    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    joined = dealt.withColumn("_part", part).join(F.broadcast(before), "_part")  # a row for each partition
-    return joined.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+    of = F.shiftright(at, 33)
+    counts = dealt.groupBy(of.alias(part)).agg(F.count("*").alias(total))
+    offsets = counts.select(part, (F.sum(total).over(Window.orderBy(part)) - F.col(total)).alias(before))
+    joined = dealt.withColumn(part, of).join(F.broadcast(offsets), part)  # a row for each partition
+    return joined.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, before)

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import with_position
+from .ranks import fresh, with_position
 
 
 def join_all(stem: str, first: DataFrame, *rest: DataFrame, how: str = "inner") -> DataFrame:
@@ -51,16 +51,19 @@ def shard(df: DataFrame, shards: int, index: int, *order: str) -> DataFrame:
     """Every shards-th row in order, from index."""
     if shards < 1 or not 0 <= index < shards:
         raise ValueError(f"shard {index} of {shards}")
-    return with_position(df, *order).where(F.col("position") % shards == index).drop("position")
+    at = fresh(df, "position")
+    return with_position(df, *order, name=at).where(F.col(at) % shards == index).drop(at)
 
 
 def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
-    return with_position(df, *order).withColumn("batch", F.floor(F.col("position") / size)).drop("position")
+    at = fresh(df, "position")
+    return with_position(df, *order, name=at).withColumn("batch", F.floor(F.col(at) / size)).drop(at)
 
 
 def numbered(df: DataFrame, prefix: str, *order: str, start: int = 1) -> DataFrame:
     """new_stem prefix-n in order."""
-    return with_position(df, *order).withColumn("new_stem", F.concat(F.lit(f"{prefix}-"), F.col("position") + start)).drop("position")
+    at = fresh(df, "position")
+    return with_position(df, *order, name=at).withColumn("new_stem", F.concat(F.lit(f"{prefix}-"), F.col(at) + start)).drop(at)
 
 
 def free_numbers(unnamed: DataFrame, used: DataFrame, order: str, number: str = "n", start: int = 1) -> DataFrame:
@@ -68,14 +71,16 @@ def free_numbers(unnamed: DataFrame, used: DataFrame, order: str, number: str =
     count = unnamed.count()
     high = used.agg(F.max(number)).first()[0] or 0
     numbers = unnamed.sparkSession.range(start, max(high, start) + count + 1).toDF(number)
-    gaps = with_position(numbers.join(used.select(number), number, "left_anti"), number)
-    return with_position(unnamed, order).join(gaps, "position").drop("position")
+    at = fresh(unnamed, "position")
+    gaps = with_position(numbers.join(used.select(number), number, "left_anti"), number, name=at)
+    return with_position(unnamed, order, name=at).join(gaps, at).drop(at)
 
 
 def first_k(df: DataFrame, k: int, group: list[str], *order: str) -> DataFrame:
     """The first k of each group; Spark keeps k of each before it shuffles."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    n = fresh(df, "_n")
+    return df.withColumn(n, F.row_number().over(w)).where(F.col(n) <= k).drop(n)
 
 
 def limited(df: DataFrame, n: int | None, *order: str) -> DataFrame:
@@ -100,18 +105,26 @@ def seeded_order(seed: int, key: Column | str) -> Column:
 def split_by_hash(df: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """A column ``split``: the first int(n * share) rows in seeded order are train, the rest test."""
     n = df.count()
-    ranked = with_position(df, seeded_order(seed, key), key)
-    return ranked.withColumn("split", F.when(F.col("position") < int(n * share), "train").otherwise("test")).drop("position")
+    at = fresh(df, "position")
+    ranked = with_position(df, seeded_order(seed, key), key, name=at)
+    return ranked.withColumn("split", F.when(F.col(at) < int(n * share), "train").otherwise("test")).drop(at)
+
+
+#: Rows whose places the driver may hold to repeat another library's shuffle.
+MOST_SHUFFLED = 5_000_000
 
 
 def split_by_shuffle(df: DataFrame, order: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """The split of random.Random(seed).shuffle over rows in order: for lists that fit the driver (numbers only, 8 bytes each)."""
     n = df.count()
+    if n > MOST_SHUFFLED:
+        raise ValueError(f"{n} rows: split_by_shuffle holds their places on the driver and takes {MOST_SHUFFLED} at most; use split_by_hash")
     places = list(range(n))
     random.Random(seed).shuffle(places)
-    train = df.sparkSession.createDataFrame([(p,) for p in places[: int(n * share)]], "position long")
-    ranked = with_position(df, order)
-    return ranked.join(train.withColumn("_in", F.lit(True)), "position", "left").withColumn("split", F.when(F.col("_in"), "train").otherwise("test")).drop("_in", "position")
+    at, taken = fresh(df, "position"), fresh(df, "_in")
+    train = df.sparkSession.createDataFrame([(p,) for p in places[: int(n * share)]], f"`{at}` long")
+    ranked = with_position(df, order, name=at)
+    return ranked.join(train.withColumn(taken, F.lit(True)), at, "left").withColumn("split", F.when(F.col(taken), "train").otherwise("test")).drop(taken, at)
 
 
 def union_sheets(tables: dict[str, DataFrame]) -> DataFrame:

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens
-from ..functions.udfs import eval_json, schema_error
+from ..functions.udfs import METRICS, eval_json, schema_error
+from .ranks import fresh
 
 CUTOFFS, PERCENTILES = (2048, 4096, 8192, 16384), (50, 75, 90, 95, 99)
 
 
 def evaluated(df: DataFrame, pred: str = "pred_json", gold: str = "gold_json", schema: str = "json_schema") -> DataFrame:
-    """df with no_output, exact_match, schema_valid, noise_ratio and value_match of each row, from one Python call."""
-    return df.withColumn("_m", eval_json(pred, gold, schema)).select("*", "_m.*").drop("_m")
+    """df with no_output, exact_match, schema_valid, noise_ratio and value_match of each row (replaced if they are there), from one Python call."""
+    m = fresh(df, "_m")
+    scored = df.withColumn(m, eval_json(pred, gold, schema))
+    return scored.withColumns({f: F.col(m)[f] for f in METRICS.names}).drop(m)
 
 
 def summary(df: DataFrame, judged: str | None = None) -> DataFrame:

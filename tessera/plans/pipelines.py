@@ -12,15 +12,24 @@ from ..functions.udfs import check_output, extract_json, json_and_schema, json_m
 from ..operators.chat import errors_of
 from ..operators.relational import first_k, having, lacking, left_or_empty, limited, of_split, shard, split_by_hash
 from ..operators.stats import cutoff_counts, evaluated, repeats, short_enough, summary
-from .provider import Provider, generate
+from .contracts import CONTRACTS
+from .provider import Provider, generate, judged
 
 Make = Callable[[], Provider]
 
 
-def evaluation(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of predictions with their metrics, and the summary of all."""
+JUDGE_PROMPT = "Compare a prediction with the right JSON value by value. Reply with one digit: 5 if all values agree, 4 if most do, 3 if half do, 2 if few do, 1 if none does.\n\nThe right JSON:\n"
+
+
+def evaluation(rows: DataFrame, judge: Make | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of predictions (a stem each) with their metrics, and the summary of all; with a judge both have its llm_score too."""
     scored = evaluated(rows)
-    return scored, summary(scored)
+    if judge is None:
+        return scored, summary(scored)
+    # Only rows with a prediction and a gold value are asked about; the others have no score.
+    asked = scored.where(~F.col("no_output") & json_ok("gold_json")).select("stem", F.concat(F.lit(JUDGE_PROMPT), json_pretty("gold_json"), F.lit("\n\nThe prediction:\n"), "pred_json").alias("judge_prompt"))
+    scored = scored.join(judged(asked, judge), "stem", "left")
+    return scored, summary(scored, "llm_score")
 
 
 def inference(prompts: DataFrame, gold: DataFrame, schemas: DataFrame, make: Make, system: str = "", test: DataFrame | None = None, split: str = "all", done: DataFrame | None = None) -> DataFrame:
@@ -102,14 +111,17 @@ def schema_pairs(schemas: DataFrame, make: Make, n: int = 4, most: int | None =
     return limited(both, rest, "unique_id").select(sharegpt(("human", F.concat(F.lit("=== JSON Schema ===\n"), "json_schema"))).alias("conversations"), turn("good").alias("chosen"), turn("bad").alias("rejected"), F.col("unique_id").alias("_unique_id"))
 
 
-def synthesis(markdown: DataFrame, report_prompt: str, json_prompt: str, make: Make, min_id: int = 41_000) -> DataFrame:
-    """(stem, report, json, json_schema, status) from workbooks' Markdown (stem, text): a report and an answer in two sections for each."""
-    rows = markdown.where(file_id(F.col("stem")) >= min_id)
+def synthesis(markdown: DataFrame, report_prompt: str, json_prompt: str, make: Make, min_id: int | None = 41_000, validate: bool = True) -> DataFrame:
+    """(stem, report, json, json_schema, status) from workbooks' Markdown (stem, text): a report and an answer in two sections for each.
+
+    With min_id None any stem goes; without ``validate`` an answer is ok that has both sections (single files).
+    """
+    rows = markdown if min_id is None else markdown.where(file_id(F.col("stem")) >= min_id)
     ask = lambda kind, prompt: rows.select(F.concat_ws("\x1f", "stem", F.lit(kind)).alias("request"), with_markdown(F.lit(prompt), F.col("text")).alias("prompt"))
     replies = generate(ask("report", report_prompt).union(ask("json", json_prompt)), make, key="request").select(F.split("request", "\x1f")[0].alias("stem"), F.split("request", "\x1f")[1].alias("kind"), "raw_output", "error")
     wide = replies.groupBy("stem").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("report", "json") for c in ("raw_output", "error")])
     out = rows.join(wide, "stem").withColumn("p", json_and_schema("json_raw_output"))
-    status = F.when(F.coalesce("report_error", "json_error").isNotNull(), "failed").when(F.col("p.error").isNotNull(), "no_sections").when(schema_validate("p.json", "p.json_schema"), "ok").otherwise("invalid")
+    status = F.when(F.coalesce("report_error", "json_error").isNotNull(), "failed").when(F.col("p.error").isNotNull(), "no_sections").when(schema_validate("p.json", "p.json_schema") if validate else F.lit(True), "ok").otherwise("invalid")
     report = F.replace(fill_table(F.col("report_raw_output"), F.col("text")), F.lit("\r\n"), F.lit("\n"))
     return out.select("stem", report.alias("report"), json_pretty("p.json").alias("json"), json_pretty("p.json_schema").alias("json_schema"), status.alias("status"))
 
@@ -152,3 +164,9 @@ def trainer_view(df: DataFrame, length, max_samples: int | None, cutoff_len: int
     return split_by_hash(rows, key, 1 - val_size)
 
 
+def contracted(df: DataFrame, name: str, length, key: str) -> DataFrame:
+    """The view of a dataset that the training configuration of that name takes."""
+    _, _, cutoff_len, max_samples, val_size = CONTRACTS[name]
+    return trainer_view(df, length, max_samples, cutoff_len, val_size, key)
+
+

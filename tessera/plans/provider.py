@@ -6,6 +6,7 @@ Engines for real models live outside; ``StubProvider`` is deterministic, needs n
 from __future__ import annotations
 
 import hashlib
+import importlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -21,10 +22,6 @@ class Provider(Protocol):
         """One reply for each prompt; an exception in its place if it failed."""
 
 
-class TokenCounter(Protocol):
-    def count(self, texts: list[str]) -> list[int]: ...
-
-
 class StubProvider:
     """Replies that hang on prompt and sample number: minimal instances of the prompt's schema, some of them spoilt."""
 
@@ -44,6 +41,18 @@ class StubProvider:
         return out
 
 
+def named(name: str) -> Callable[[], Provider]:
+    """The provider that ``module:callable`` makes; ``stub`` and ``stub-sections`` are the deterministic ones."""
+    if name.startswith("stub"):
+        return lambda: StubProvider(sections=name == "stub-sections")
+    module, _, made = name.partition(":")
+
+    def make() -> Provider:
+        return getattr(importlib.import_module(module), made)()
+
+    return make
+
+
 def generate(requests: DataFrame, make: Callable[[], Provider], n: int = 1, prompt: str = "prompt", key: str = "stem", batch: int = 4) -> DataFrame:
     """(key, sample_idx, raw_output, error): n samples for each request; failures are rows with an error, not exceptions.
 
@@ -71,4 +80,4 @@ def judged(rows: DataFrame, make: Callable[[], Provider], prompt: str = "judge_p
     """(key, llm_score) from a judge's replies."""
     from ..functions.text import judge_score
 
-    return generate(rows, make, 1, prompt, key).select(key, F.coalesce(judge_score(F.col("raw_output"))).alias("llm_score"))
+    return generate(rows, make, 1, prompt, key).select(key, judge_score(F.col("raw_output")).alias("llm_score"))

@@ -852,3 +852,6 @@ SELECT 'book' AS file, '## Sheet: nations' || chr(10) || chr(10) || '| ' || lpad
 def p16(t):
     rows = t.nation.select(F.lit("book").alias("file"), F.lit("nations").alias("sheet"), F.lit(0).alias("sheet_idx"), F.col("n_nationkey").alias("row_idx"), F.explode(F.array(F.struct(F.lit(0).alias("col_idx"), F.lit("key").alias("col_name"), F.col("n_nationkey").cast("string").alias("value")), F.struct(F.lit(1).alias("col_idx"), F.lit("name").alias("col_name"), F.col("n_name").alias("value")))).alias("c"))
     return H.workbook_markdown(rows.select("file", "sheet", "sheet_idx", "row_idx", "c.*"))
+
+
+from . import file_queries  # noqa: E402, F401  (registers its queries with the decorator above)

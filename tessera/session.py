@@ -3,10 +3,30 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | None = None, app: str = "tessera", **conf: str) -> SparkSession:
     """A ``local[n]`` session with the settings that the engine expects."""
     n = cores or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
