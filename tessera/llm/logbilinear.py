@@ -1,11 +1,13 @@
 """Language-model scores: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-Tokens are words and one end for each text. The frequent words are classes of their own; others share a class with words
-of the same last bytes. The two classes before a token give a context vector C1[a] + C2[b]; a class's score is its product
-with R[w], plus a bias. Training makes classes of the corpus stand out from drawn noise, on each task's share of all
+Tokens are words and one end for each text. The frequent words are classes of their own, as many as GROWTH times the square
+root of the training tokens (a corpus's words grow about like that), so what is learned grows with the input; other words
+share a class with words of the same last bytes. The most frequent classes are contexts, the others are told by their last
+bytes there. The two contexts before a token give a vector C1[a] + C2[b]; a class's score is its product with R[w], plus
+a bias. Training makes classes of the corpus stand out from drawn noise, on each task's share of all
 training tokens; the tasks' parameters are averaged and trained on (a first round, over a hashed share of the blocks, gives
-all tasks the same start). Because the context is a sum, the sum over all classes for every two before is one matrix product,
-exp(C1 R' + b) exp(C2 R')', so probabilities are exactly normalised. A rare word's is its class's times its share there,
+all tasks the same start). Because the context is a sum, the sum over all classes for every two before is a matrix product,
+exp(C1 R' + b) exp(C2 R')', taken over runs of classes, so probabilities are exactly normalised. A rare word's is its class's times its share there,
 (count + 1/2) in all counts of the class + 1/2 for each of its words and an unseen one.
 
 Counts cover the whole corpus: each block of texts has a dictionary of the hashes (64 bits) of its words, with their counts;
@@ -26,9 +28,12 @@ from pyspark.sql import functions as F
 from .bytewords import SPACED, Words, as_bytes, chunks, mix64
 from .shared import partitions, stage
 
-#: Frequent words with a class each, classes of the others by form, and the width of vectors.
-FREQUENT, FORMS, WIDTH = 1024, 512, 16
-BATCH, NOISE, RATE, WARM_SHARE = 4096, 32, 0.08, 8
+#: Words that are contexts of their own (and the least number with a class each), classes of the others by form, the width
+#: of vectors, and words with a class each for the square root of the training tokens.
+FREQUENT, FORMS, WIDTH, GROWTH = 1024, 512, 16, 2.0
+#: Classes whose scores are summed at once, and tokens scored at once.
+RUN, SCORED = 4096, 1 << 16
+BATCH, NOISE, RATE, WARM_SHARE = 1024, 128, 0.08, 8
 #: Bytes of text of a block, and those that are hashed at once.
 BLOCK, HASH_RUN = 4 << 20, (1 << 19) - (1 << 14)
 END = np.uint64(0x5E17AB1E0DD5EED5)
@@ -82,7 +87,13 @@ TOTALS = "kind int, block long, bucket int, totals binary, words long, tokens lo
 _TOTALS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64()), ("form_words", pa.list_(pa.int64())), ("form_tokens", pa.list_(pa.int64())), ("top_hash", pa.list_(pa.int64())), ("top_count", pa.list_(pa.int64())), ("top_form", pa.list_(pa.int32()))])
 
 
-def _totals(key, table):
+def _most_frequent(h: np.ndarray, c: np.ndarray, f: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``wanted`` most frequent words, the end before all others; ties to smaller hashes."""
+    at = np.lexsort((h, -c, h != int(END.view(np.int64))))[:wanted]
+    return h[at], c[at], f[at]
+
+
+def _totals(key, table, wanted: int):
     """A slice's totals over all blocks, for each block in its own order; and a row of sums."""
     slices = [np.frombuffer(x, np.uint64) for x in table.column("slice").to_pylist()]
     h = np.concatenate(slices)
@@ -92,31 +103,31 @@ def _totals(key, table):
     total = np.bincount(inverse, weights=counts, minlength=len(own)).astype(np.int64)
     back = np.split(total[inverse].astype("<i8"), np.cumsum([len(s) for s in slices])[:-1])
     known, form = total > 0, forms[first]
-    top = np.argsort(-total, kind="stable")[:FREQUENT]
-    top = top[total[top] > 0]
+    seen = own[known].view(np.int64)
+    top = _most_frequent(seen, total[known], form[known].astype(np.int32), wanted)
     rows = [(1, b, k, x.tobytes(), None, None, None, None, None, None, None) for b, k, x in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), back, strict=True)]
-    rows.append((0, None, None, None, int(known.sum()), int(total.sum()), np.bincount(form[known], minlength=FORMS), np.bincount(form, weights=total, minlength=FORMS).astype(np.int64), own[top].view(np.int64), total[top], form[top].astype(np.int32)))
+    rows.append((0, None, None, None, int(known.sum()), int(total.sum()), np.bincount(form[known], minlength=FORMS), np.bincount(form, weights=total, minlength=FORMS).astype(np.int64), *top))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOTALS, strict=True)], schema=_TOTALS)
 
 
 MERGED = "form_words array<long>, form_tokens array<long>, top_hash array<long>, top_count array<long>, top_form array<int>"
 
 
-def _merge_sums(batches):
+def _merge_sums(batches, wanted: int):
     """A task's rows of sums as one: added up, and the most frequent words of all (the end among them)."""
-    words, tokens, top = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64), []
-    end, seen = int(END.view(np.int64)), False
+    words, tokens, seen = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64), False
+    top = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
     for batch in batches:
-        for w, t, h, c, f in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            words, tokens, seen = words + np.array(w, np.int64), tokens + np.array(t, np.int64), True
-            top = sorted([*top, *zip(h, c, f, strict=True)], key=lambda x: (x[0] != end, -x[1], x[0]))[:FREQUENT]
+        for w, t, *more in zip(*batch.columns, strict=True):
+            words, tokens, seen = words + w.values.to_numpy(), tokens + t.values.to_numpy(), True
+            top = _most_frequent(*(np.concatenate([x, y.values.to_numpy()]) for x, y in zip(top, more, strict=True)), wanted)
     if seen:
-        h, c, f = zip(*top, strict=True) if top else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int64())), pa.array([h], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64())), pa.array([f], pa.list_(pa.int32()))], names=["form_words", "form_tokens", "top_hash", "top_count", "top_form"])
+        lists = [pa.array([x], f.type) for x, f in zip((words, tokens, *top), (_TOTALS.field(k) for k in range(6, 11)), strict=True)]
+        yield pa.RecordBatch.from_arrays(lists, names=["form_words", "form_tokens", "top_hash", "top_count", "top_form"])
 
 
 class Classes:
-    """What class each word has, and the shares of words in classes of forms."""
+    """What class each word has, the context of each class, and the shares of words in classes of forms. Words come by rank."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, forms: np.ndarray, form_words: np.ndarray, form_tokens: np.ndarray, words: int, tokens: int):
         order = np.argsort(hashes)
@@ -128,6 +139,10 @@ class Classes:
         mass = np.concatenate([counts[order], self.form_tokens]).astype(np.float64) + 0.5
         self.prior = mass / mass.sum()
         self.size = self.n + FORMS
+        # The context of a class: a word's rank if that is high, or else its form, as for the classes of forms. The last context stands before a text.
+        own = min(self.n, FREQUENT)
+        self.context = np.concatenate([np.where(order < own, order, own + forms[order]), own + np.arange(FORMS)]).astype(np.int64)
+        self.contexts = own + FORMS
 
     def of(self, hashes: np.ndarray, forms: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), self.n - 1)
@@ -145,38 +160,53 @@ class Model:
 
     def __init__(self, classes: Classes, seed: int = 5):
         rng = np.random.default_rng(seed)
-        n = classes.size
         self.prior = classes.prior
-        self.c1, self.c2, self.r = (rng.normal(0, 0.1, (m, WIDTH)).astype(np.float32) for m in (n + 1, n + 1, n))
+        self.c1, self.c2, self.r = (rng.normal(0, 0.1, (m, WIDTH)).astype(np.float32) for m in (classes.contexts + 1, classes.contexts + 1, classes.size))
         self.b = np.log(classes.prior).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
         return [self.c1, self.c2, self.r, self.b]
 
     def train(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, rng, past: list[np.ndarray]) -> None:
-        """Noise-contrastive steps over tokens w with the classes one and two places before; ``past``: squared gradients so far."""
-        offset = np.log(NOISE * self.prior).astype(np.float32)
+        """Noise-contrastive steps over tokens w with the contexts one and two places before; ``past``: squared gradients so far."""
+        offset, upto = np.log(NOISE * self.prior).astype(np.float32), np.cumsum(self.prior)
         for a in range(0, len(w), BATCH):
             x, y, z = one[a : a + BATCH], two[a : a + BATCH], w[a : a + BATCH]
-            noise = rng.choice(len(self.prior), NOISE, p=self.prior)
+            noise = np.minimum(np.searchsorted(upto, rng.random(NOISE) * upto[-1], side="right"), len(upto) - 1)
             q = self.c1[x] + self.c2[y]
             rz, rn = self.r[z], self.r[noise]
             up = _sigmoid(offset[z] - self.b[z] - np.einsum("ij,ij->i", q, rz))  # 1 - sigmoid of the score
             down = -_sigmoid(q @ rn.T + (self.b[noise] - offset[noise]))
             dq = up[:, None] * rz + down @ rn
-            dr, db = _sums(z, up[:, None] * q, len(self.r)), np.bincount(z, weights=up, minlength=len(self.b)).astype(np.float32)
-            np.add.at(dr, noise, down.T @ q)
-            np.add.at(db, noise, down.sum(axis=0))
-            for p, g, s in zip(self.parts(), (_sums(x, dq, len(self.c1)), _sums(y, dq, len(self.c2)), dr, db), past, strict=True):
+            hit, at = np.unique(np.concatenate([z, noise]), return_inverse=True)  # of the classes only those that occur here change
+            dr, db = _sums(at[: len(z)], up[:, None] * q, len(hit)), np.bincount(at[: len(z)], weights=up, minlength=len(hit)).astype(np.float32)
+            np.add.at(dr, at[len(z) :], down.T @ q)
+            np.add.at(db, at[len(z) :], down.sum(axis=0))
+            for p, g, s in zip(self.parts()[:2], (_sums(x, dq, len(self.c1)), _sums(y, dq, len(self.c2))), past[:2], strict=True):
                 s += g * g
                 p += RATE * g / np.sqrt(s + 1.0)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log scores by the class before, by the one before that, and the log of the sum over all classes of both."""
-        a, b = self.c1 @ self.r.T + self.b, self.c2 @ self.r.T
-        ma, mb = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
-        z = np.log(np.exp(a - ma).astype(np.float64) @ np.exp(b - mb).astype(np.float64).T) + ma + mb.T
-        return a.astype(np.float32), b.astype(np.float32), z.astype(np.float32)
+            for p, g, s in zip(self.parts()[2:], (dr, db), past[2:], strict=True):
+                s[hit] += g * g
+                p[hit] += RATE * g / np.sqrt(s[hit] + 1.0)
+
+    def normalisers(self) -> np.ndarray:
+        """The log of the sum of all classes' scores, by the context before and the one before that."""
+        runs = range(0, len(self.r), RUN)
+        scores = lambda c, k: c @ self.r[k : k + RUN].T
+        ma = np.max([(scores(self.c1, k) + self.b[k : k + RUN]).max(axis=1) for k in runs], axis=0)[:, None]
+        mb = np.max([scores(self.c2, k).max(axis=1) for k in runs], axis=0)[:, None]
+        total = np.zeros((len(self.c1), len(self.c2)))
+        for k in runs:
+            total += np.exp(scores(self.c1, k) + self.b[k : k + RUN] - ma).astype(np.float64) @ np.exp(scores(self.c2, k) - mb).astype(np.float64).T
+        return (np.log(total) + ma + mb.T).astype(np.float32)
+
+    def log_scores(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The log probabilities of classes w after these contexts."""
+        out = np.empty(len(w))
+        for a in range(0, len(w), SCORED):
+            s = slice(a, a + SCORED)
+            out[s] = np.einsum("ij,ij->i", self.c1[one[s]] + self.c2[two[s]], self.r[w[s]]) + self.b[w[s]] - z[one[s], two[s]]
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -194,13 +224,13 @@ def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _contexts(classes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two places before each token; ``size`` stands before a text."""
+def _contexts(contexts: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts one and two places before each token; ``start`` stands before a text."""
     begin = np.cumsum(lengths) - lengths
-    one = np.concatenate([[size], classes[:-1]])
-    one[begin] = size
-    two = np.concatenate([[size], one[:-1]])
-    two[begin] = size
+    one = np.concatenate([[start], contexts[:-1]])
+    one[begin] = start
+    two = np.concatenate([[start], one[:-1]])
+    two[begin] = start
     return one, two
 
 
@@ -216,7 +246,7 @@ def _train_task(batches, classes: Classes, model: Model):
         for train, lengths, tokens, hashes, forms in zip(*(batch.column(k) for k in range(5)), strict=True):
             lengths, train = np.array(lengths.as_py(), np.int64), np.array(train.as_py(), bool)
             of = classes.of(np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(forms.as_py(), np.uint16))[np.frombuffer(tokens.as_py(), "<u4")]
-            one, two = _contexts(of, lengths, classes.size)
+            one, two = _contexts(classes.context[of], lengths, classes.contexts)
             use = np.repeat(train, lengths)
             local.train(one[use], two[use], of[use], rng, past)
             seen += int(use.sum())
@@ -245,8 +275,7 @@ def _round(blocks: DataFrame, classes: Classes, model: Model) -> None:
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_block(key, left: pa.Table, right: pa.Table, classes: Classes, tables) -> pa.Table:
-    a, b, z = tables
+def _score_block(key, left: pa.Table, right: pa.Table, classes: Classes, model: Model, z: np.ndarray) -> pa.Table:
     slot = {k: np.frombuffer(x, "<i8") for k, x in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}
     out = []
     for ids, lengths, tokens, hashes, forms, buckets in zip(*(left.column(c).to_pylist() for c in ("ids", "lengths", "tokens", "hashes", "forms", "buckets")), strict=True):
@@ -256,8 +285,8 @@ def _score_block(key, left: pa.Table, right: pa.Table, classes: Classes, tables)
         of = classes.of(own, forms)
         share, base = classes.share(of, total), np.log10((total + 0.5) / (classes.tokens + 0.5 * (classes.words + 1)))
         w = of[tokens]
-        one, two = _contexts(w, lengths, classes.size)
-        log10 = (a[one, w].astype(np.float64) + b[two, w] - z[one, two]) / np.log(10.0) + share[tokens]
+        one, two = _contexts(classes.context[w], lengths, classes.contexts)
+        log10 = model.log_scores(one, two, w, z) / np.log(10.0) + share[tokens]
         begin = np.cumsum(lengths) - lengths
         sums = [np.add.reduceat(x, begin) for x in ((total > 0)[tokens].astype(np.int64), base[tokens], log10)]
         out.append(pa.table([pa.array(ids, pa.int64()), pa.array(lengths), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]))
@@ -270,26 +299,26 @@ def score_corpus(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: s
     buckets = 4 * partitions(spark)
     rows = stage(docs.select(F.col(doc_id).cast("long"), F.coalesce(train, F.lit(False)), text).mapInArrow(lambda it: _blocks(it, buckets), BLOCKS), "lm-blocks")
     blocks = rows.where("kind = 0").select("block", "ids", "train", "lengths", "tokens", "hashes", "forms")
-    totals = stage(rows.where("kind = 1").select("block", "bucket", "slice", "counts", "slice_forms").groupBy("bucket").applyInArrow(_totals, TOTALS), "lm-totals")
+    learnt = F.aggregate(F.zip_with("train", "lengths", lambda t, n: F.when(t, n).otherwise(0)), F.lit(0).cast("long"), lambda x, n: x + n)
+    wanted = max(FREQUENT, int(GROWTH * (blocks.select(F.sum(learnt)).first()[0] or 0) ** 0.5))
+    totals = stage(rows.where("kind = 1").select("block", "bucket", "slice", "counts", "slice_forms").groupBy("bucket").applyInArrow(lambda key, t: _totals(key, t, wanted), TOTALS), "lm-totals")
     sums = totals.where("kind = 0")
     n = sums.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
-    form_words, form_tokens = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
-    end, top = int(END.view(np.int64)), []
-    for r in sums.select("form_words", "form_tokens", "top_hash", "top_count", "top_form").repartition(8).mapInArrow(_merge_sums, MERGED).collect():  # at most 8 rows
-        form_words += np.array(r["form_words"], np.int64)
-        form_tokens += np.array(r["form_tokens"], np.int64)
-        top += [{"top_hash": h, "top_count": c, "top_form": f} for h, c, f in zip(r["top_hash"], r["top_count"], r["top_form"], strict=True)]
-    top.sort(key=lambda r: (r["top_hash"] != end, -r["top_count"], r["top_hash"]))
-    top = top[:FREQUENT]
-    if not top or top[0]["top_hash"] != end:
-        top = [{"top_hash": end, "top_count": 0, "top_form": 0}, *top[: FREQUENT - 1]]
-    classes = Classes(np.array([r["top_hash"] for r in top], np.int64).view(np.uint64), np.array([r["top_count"] for r in top], np.int64), np.array([r["top_form"] for r in top], np.int64), form_words, form_tokens, n["words"] or 0, n["tokens"] or 0)
+    end, kept = END.view(np.int64), [_TOTALS.field(k).name for k in range(6, 11)]
+    # At most 8 rows, of no more words than get a class each.
+    some = sums.select(*kept).repartition(8).mapInArrow(lambda it: _merge_sums(it, wanted), MERGED).toArrow()
+    form_words, form_tokens = (sum((x.values.to_numpy() for x in some.column(c)), np.zeros(FORMS, np.int64)) for c in ("form_words", "form_tokens"))
+    top = [np.concatenate([x.values.to_numpy() for x in some.column(c)] or [np.zeros(0, np.int64)]) for c in ("top_hash", "top_count", "top_form")]
+    top = _most_frequent(*top, wanted)
+    if not len(top[0]) or top[0][0] != end:
+        top = [np.concatenate([[x], y[: wanted - 1]]) for x, y in zip((end, 0, 0), top, strict=True)]
+    classes = Classes(top[0].view(np.uint64), top[1], top[2].astype(np.int64), form_words, form_tokens, n["words"] or 0, n["tokens"] or 0)
     model = Model(classes)
     if classes.tokens:
-        # A block's hash, not its place, says whether it is in the first round.
+        # A share of the blocks, drawn by a hash of their numbers, is the first round.
         _round(blocks.where(F.pmod(F.xxhash64("block"), F.lit(WARM_SHARE)) == 0), classes, model)
         _round(blocks, classes, model)
-    shared = spark.sparkContext.broadcast((classes, model.tables()))
+    shared = spark.sparkContext.broadcast((classes, model, model.normalisers()))
     left = blocks.withColumn("buckets", F.lit(buckets)).groupBy("block")
     right = totals.where("kind = 1").select(F.col("block").alias("of"), "bucket", "totals").groupBy("of")
     return left.cogroup(right).applyInArrow(lambda key, x, y: _score_block(key, x, y, *shared.value), SCORES), classes

@@ -83,6 +83,12 @@ def test_lm_counts_and_gain(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_gain_grows(spark):
+    """On more text than the smallest table has, a clear gain for each held-out token."""
+    held = QUERIES["op9_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] > held[1] + 0.2 * held[2]
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 40).astype(np.uint64)
@@ -96,16 +102,42 @@ def test_lm_is_normalised():
     classes = lm.Classes(h, counts, forms, form_words, form_tokens, 42, int(form_tokens.sum()))
     model = lm.Model(classes)
     w = rng.integers(0, classes.size, 5000)
-    one, two = lm._contexts(w, np.array([2000, 3000]), classes.size)
+    one, two = lm._contexts(classes.context[w], np.array([2000, 3000]), classes.contexts)
     model.train(one, two, w, rng, [np.zeros_like(p) for p in model.parts()])
-    a, b, z = model.tables()
-    for x, y in ((0, 1), (3, classes.size), (classes.size, classes.size)):
-        p = np.exp(a[x].astype(float) + b[y] - z[x, y])
+    z, every = model.normalisers(), np.arange(classes.size)
+    for x, y in ((0, 1), (3, classes.contexts), (classes.contexts, classes.contexts)):
+        p = np.exp(model.log_scores(np.full(classes.size, x), np.full(classes.size, y), every, z))
         assert p.sum() == pytest.approx(1.0, abs=1e-4)
     share = classes.share(np.array([classes.n + 1] * 3), np.array([2, 3, 0]))
     assert (10**share).sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("run,scored", [(7, 5), (1000, 1000)])
+def test_lm_runs_of_classes(monkeypatch, run, scored):
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    rng = np.random.default_rng(2)
+    n, none = 30, np.zeros(lm.FORMS, np.int64)
+    classes = lm.Classes(rng.integers(0, 1 << 63, n).astype(np.uint64), np.arange(n, 0, -1), np.full(n, 9), none + 60, none + 500, 99, 999)
+    assert (classes.size, classes.contexts) == (n + lm.FORMS, 4 + lm.FORMS)
+    at = classes.of(classes.hashes, np.full(n, 9))
+    assert sorted(classes.context[at].tolist()) == [0, 1, 2, 3] + [4 + 9] * (n - 4)  # the four most frequent words, and the others' form
+    model, plain = lm.Model(classes), None
+    monkeypatch.setattr(lm, "RUN", run)
+    monkeypatch.setattr(lm, "SCORED", scored)
+    z = model.normalisers()
+    plain = np.log(np.exp((model.c1[5] + model.c2[8]).astype(float) @ model.r.T + model.b).sum())
+    assert z[5, 8] == pytest.approx(plain, abs=1e-4)
+    w = np.arange(23)
+    assert model.log_scores(w % 3, w % 5, w, z) == pytest.approx([float((model.c1[x % 3] + model.c2[x % 5]) @ model.r[x] + model.b[x] - z[x % 3, x % 5]) for x in w], abs=1e-4)
+
+
+def test_lm_most_frequent():
+    end = lm.END.view(np.int64)
+    h, c = np.array([5, end, 3, -2]), np.array([9, 1, 9, 20])
+    got = lm._most_frequent(h, c, np.arange(4), 3)
+    assert got[0].tolist() == [end, -2, 3] and got[2].tolist() == [1, 3, 2]
+
+
 def test_lm_odd(odd, none):
     scores, classes = lm.score_corpus(odd, F.col("doc_id") % 2 == 0)
     rows = scores.collect()
