@@ -41,6 +41,15 @@ BLOCKS = "kind int, block long, ids array<long>, train array<boolean>, lengths a
 _BLOCKS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("tokens", "hashes", "forms")), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("slice", "counts", "slice_forms"))])
 
 
+def _planes(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers with all their lowest bytes first, then the next, and so on: small numbers compress well so."""
+    return np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, len(data) // np.dtype(kind).itemsize).T).view(kind).ravel()
+
+
 def _tokens(texts: list[bytes]):
     """Hashes and forms of all tokens, an end after each text, and the texts' lengths in tokens."""
     words = Words(texts, SPACED)
@@ -70,16 +79,19 @@ def _blocks(batches, buckets: int):
             hashes, forms, lengths = _tokens_of_block(texts[a:b])
             own, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
             learnt = np.repeat(np.array(train[a:b], bool), lengths)
+            # Words are numbered by how often they come in the block: most numbers are small.
+            order = np.argsort(-np.bincount(tokens, minlength=len(own)), kind="stable")
+            own, first, tokens = own[order], first[order], np.argsort(order)[tokens]
             counts = np.bincount(tokens[learnt], minlength=len(own))
             block, nth = task << 24 | nth, nth + 1
             own_forms = forms[first]
-            rows = [(0, block, ids[a:b], train[a:b], lengths, tokens.astype("<u4").tobytes(), own.tobytes(), own_forms.tobytes(), None, None, None, None)]
+            rows = [(0, block, ids[a:b], train[a:b], lengths, _planes(tokens, "<u4"), own.tobytes(), own_forms.tobytes(), None, None, None, None)]
             slot = (own % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             ends = np.searchsorted(slot[order], np.arange(buckets + 1))
             for k in np.unique(slot).tolist():
                 at = order[ends[k] : ends[k + 1]]
-                rows.append((1, block, None, None, None, None, None, None, k, own[at].tobytes(), counts[at].astype("<u4").tobytes(), own_forms[at].tobytes()))
+                rows.append((1, block, None, None, None, None, None, None, k, own[at].tobytes(), _planes(counts[at], "<u4"), own_forms[at].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
 
@@ -97,15 +109,15 @@ def _totals(key, table, wanted: int):
     """A slice's totals over all blocks, for each block in its own order; and a row of sums."""
     slices = [np.frombuffer(x, np.uint64) for x in table.column("slice").to_pylist()]
     h = np.concatenate(slices)
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+    counts = np.concatenate([_from_planes(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
     forms = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("slice_forms").to_pylist()])
     own, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(own)).astype(np.int64)
-    back = np.split(total[inverse].astype("<i8"), np.cumsum([len(s) for s in slices])[:-1])
+    back = np.split(total[inverse], np.cumsum([len(s) for s in slices])[:-1])
     known, form = total > 0, forms[first]
     seen = own[known].view(np.int64)
     top = _most_frequent(seen, total[known], form[known].astype(np.int32), wanted)
-    rows = [(1, b, k, x.tobytes(), None, None, None, None, None, None, None) for b, k, x in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), back, strict=True)]
+    rows = [(1, b, k, _planes(x, "<i8"), None, None, None, None, None, None, None) for b, k, x in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), back, strict=True)]
     rows.append((0, None, None, None, int(known.sum()), int(total.sum()), np.bincount(form[known], minlength=FORMS), np.bincount(form, weights=total, minlength=FORMS).astype(np.int64), *top))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOTALS, strict=True)], schema=_TOTALS)
 
@@ -245,18 +257,24 @@ def _train_task(batches, classes: Classes, model: Model):
     for batch in batches:
         for train, lengths, tokens, hashes, forms in zip(*(batch.column(k) for k in range(5)), strict=True):
             lengths, train = np.array(lengths.as_py(), np.int64), np.array(train.as_py(), bool)
-            of = classes.of(np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(forms.as_py(), np.uint16))[np.frombuffer(tokens.as_py(), "<u4")]
+            of = classes.of(np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(forms.as_py(), np.uint16))[_from_planes(tokens.as_py(), "<u4")]
             one, two = _contexts(classes.context[of], lengths, classes.contexts)
             use = np.repeat(train, lengths)
             local.train(one[use], two[use], of[use], rng, past)
             seen += int(use.sum())
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), *(pa.array([(p.astype(np.float64) * seen).tobytes()], pa.binary()) for p in mine)], names=["seen", "c1", "c2", "r", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in mine)], names=["seen", "c1", "c2", "r", "b"])
+
+
+def _mean(seen: list[int], parts: list[bytes]) -> np.ndarray:
+    """The mean of parameters, each by the tokens it has seen."""
+    return (sum(np.frombuffer(x, np.float32).astype(np.float64) * n for n, x in zip(seen, parts, strict=True)) / sum(seen)).astype(np.float32)
 
 
 def _add_up(key, table):
-    sums = [sum(np.frombuffer(x, np.float64) for x in table.column(c).to_pylist()).tobytes() for c in ("c1", "c2", "r", "b")]
-    return pa.table([pa.array([sum(table.column("seen").to_pylist())], pa.int64()), *(pa.array([s], pa.binary()) for s in sums)], names=["seen", "c1", "c2", "r", "b"])
+    seen = table.column("seen").to_pylist()
+    means = [_mean(seen, table.column(c).to_pylist()).tobytes() for c in ("c1", "c2", "r", "b")]
+    return pa.table([pa.array([sum(seen)], pa.int64()), *(pa.array([s], pa.binary()) for s in means)], names=["seen", "c1", "c2", "r", "b"])
 
 
 def _round(blocks: DataFrame, classes: Classes, model: Model) -> None:
@@ -266,20 +284,19 @@ def _round(blocks: DataFrame, classes: Classes, model: Model) -> None:
     # Summed in two steps: the driver gets 8 rows of parameters, whatever the number of tasks.
     some = parts.groupBy(F.spark_partition_id().alias("k") % 64).applyInArrow(_add_up, kind)
     rows = some.groupBy(F.spark_partition_id() % 8).applyInArrow(_add_up, kind).collect()
-    seen = sum(r["seen"] for r in rows)
-    if seen:
+    if rows:
         for name, p in zip(("c1", "c2", "r", "b"), model.parts(), strict=True):
-            p[...] = (sum(np.frombuffer(r[name], np.float64) for r in rows) / seen).reshape(p.shape)
+            p[...] = _mean([r["seen"] for r in rows], [r[name] for r in rows]).reshape(p.shape)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score_block(key, left: pa.Table, right: pa.Table, classes: Classes, model: Model, z: np.ndarray) -> pa.Table:
-    slot = {k: np.frombuffer(x, "<i8") for k, x in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}
+    slot = {k: _from_planes(x, "<i8") for k, x in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}
     out = []
     for ids, lengths, tokens, hashes, forms, buckets in zip(*(left.column(c).to_pylist() for c in ("ids", "lengths", "tokens", "hashes", "forms", "buckets")), strict=True):
-        own, forms, tokens, lengths = np.frombuffer(hashes, np.uint64), np.frombuffer(forms, np.uint16), np.frombuffer(tokens, "<u4"), np.array(lengths, np.int64)
+        own, forms, tokens, lengths = np.frombuffer(hashes, np.uint64), np.frombuffer(forms, np.uint16), _from_planes(tokens, "<u4"), np.array(lengths, np.int64)
         total = np.empty(len(own), np.int64)
         total[np.argsort((own % np.uint64(buckets)).astype(np.int64), kind="stable")] = np.concatenate([slot[k] for k in sorted(slot)])
         of = classes.of(own, forms)

@@ -170,3 +170,9 @@ def test_pipeline_odd(spark, odd, none, tmp_path):
         for name, step in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stage(step(spark, docs, str(tmp_path)), f"odd-{name}")
         assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+@pytest.mark.parametrize("kind", ["<u4", "<i8"])
+def test_lm_planes(kind):
+    for numbers in ([], [0], [1, 70_000, 255, 256, 2**31]):
+        assert lm._from_planes(lm._planes(np.array(numbers, np.int64), kind), kind).tolist() == numbers
