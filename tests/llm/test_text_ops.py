@@ -326,6 +326,29 @@ def test_dealt_rows_grow_with_the_input():
         assert level <= 6
 
 
+def test_repeats_deal_different_regions_again_once(spark, monkeypatch):
+    r = random.Random(5)
+    say = lambda n: "".join(r.choice("abcdefgh \n") for _ in range(n))
+    middle, least = say(500), 400
+    passages = [say(300) + middle + say(300) for _ in range(3)]
+    texts = [say(50) + passages[k % 3] + say(50) for k in range(60)]
+    again, stage = [], suffix.stage
+
+    def counted(df, name, *by):
+        out = stage(df, name, *by)
+        again.append(out.count()) if name == "suffix-again" else None
+        return out
+
+    monkeypatch.setattr(suffix, "stage", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix.remove_repeats(df, most_regions=1).collect()}
+    assert got == dict(enumerate(without_repeats(texts, least)))
+    few = sum(again)
+    again.clear()
+    suffix.remove_repeats(spark.createDataFrame(list(enumerate(t + str(k) for k in range(5) for t in texts)), "doc_id long, text string"), most_regions=1).collect()
+    assert again and sum(again) < 3 * few  # five times the occurrences; other regions only where the ends differ
+
+
 def test_repeats_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = dict(zip((d["doc_id"] for d in docs), without_repeats([d["text"] for d in docs], 400), strict=True))
