@@ -93,6 +93,12 @@ def regroup(samples: DataFrame, key: str, index: str, value: str) -> DataFrame:
     return samples.groupBy(key).agg(F.transform(pairs, lambda x: x[value]).alias("samples"))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt by the columns over all tasks, for costly work on each: a small file, or one with a single row group, is read by one task, and a joined table may be in few."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def repeated(df: DataFrame, n: int, index: str = "sample_idx") -> DataFrame:
     return df.withColumn(index, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
