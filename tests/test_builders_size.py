@@ -51,6 +51,20 @@ def test_c13_inference(spark, sf):
     assert _counts(Q.QUERIES["c13_inference"](spark, sf)) == [2, 0, 0, 1, True]
 
 
+def test_c10_synthesis(spark, sf):
+    assert _counts(Q.QUERIES["c10_synthesis"](spark, sf)) == [0, 0, 0, 1, True]
+
+
+def test_c10_failures(spark):
+    class Fails(StubProvider):
+        def generate(self, prompts, samples):
+            return [ValueError("no") if "bad" in p else r for p, r in zip(prompts, super().generate(prompts, samples), strict=True)]
+
+    rows = spark.createDataFrame([("data_41000", 'x\n=== JSON Schema ===\n{"type":"object","required":["a"]}'), ("data_41001", "bad"), ("data_41002", None), ("data_7", "x")], "stem string, text string")
+    got = {r["stem"]: r["status"] for r in P.synthesis(rows, "R: ", "J: ", lambda: Fails(0, True)).collect()}
+    assert got == {"data_41000": "ok", "data_41001": "failed", "data_41002": "failed"}
+
+
 def test_null_prompt_leaves_its_batch_alone(spark):
     df = spark.createDataFrame([(f"{i}", None if i == 2 else "p") for i in range(4)], "stem string, prompt string").coalesce(1)
     got = sorted((r["stem"], r["sample_idx"], r["error"]) for r in generate(df, StubProvider, 2).collect())
