@@ -148,7 +148,7 @@ def token_counter(path: str):
     return token_count
 
 
-@F.udtf(returnType=_struct(path=T.StringType(), value=T.StringType()), useArrow=True)
+@F.udtf(returnType=_struct(path=T.StringType(), value=T.StringType()), useArrow=False)
 class JsonLeafRows:
     """json_leaf_rows(json): a row for each leaf."""
 

@@ -321,7 +321,7 @@ def j13(t):
 @query("j13_leaf_rows_udtf", "SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")
 def j13b(t):
     U.register_all(t.spark)
-    t.events.createOrReplaceTempView("leaf_events")
+    R.spread(t.events.select("event_id", "props"), "event_id").createOrReplaceTempView("leaf_events")
     return t.spark.sql("SELECT e.event_id, l.path, l.value FROM leaf_events e, LATERAL json_leaf_rows(e.props) l")
 
 

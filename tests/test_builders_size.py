@@ -69,3 +69,12 @@ def test_null_prompt_leaves_its_batch_alone(spark):
     df = spark.createDataFrame([(f"{i}", None if i == 2 else "p") for i in range(4)], "stem string, prompt string").coalesce(1)
     got = sorted((r["stem"], r["sample_idx"], r["error"]) for r in generate(df, StubProvider, 2).collect())
     assert got == [(f"{i}", s, "no prompt" if i == 2 else None) for i in range(4) for s in range(2)]
+
+
+def test_j13_leaf_rows(spark, sf):
+    df = Q.QUERIES["j13_leaf_rows_udtf"](spark, sf)
+    # with Arrow, Spark makes a table of each row's leaves
+    assert U.JsonLeafRows.evalType == PythonEvalType.SQL_TABLE_UDF and _counts(df)[-1]
+    spark.createDataFrame([(1, '{"a":[1,"é"],"b":{"c":null}}'), (2, "{bad"), (3, None), (4, "{}")], "i int, x string").createOrReplaceTempView("leaf_rows")
+    got = [(r["i"], r["path"], json.loads(r["value"])) for r in spark.sql("select i, l.* from leaf_rows, lateral json_leaf_rows(x) l").orderBy(F.col("path")).collect()]
+    assert got == [(1, "a[0]", 1), (1, "a[1]", "é"), (1, "b.c", None)]
